@@ -167,3 +167,61 @@ smp AS (
     CAST(floor(CAST(embedding[(pos + 2) % len(embedding) + 1] AS DOUBLE) * 800) AS BIGINT) AS z
   FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS pos FROM embeddings))
 """
+
+
+def talk(t: Tables) -> DataFrame:
+    """Conversation turns on a time line: a character takes 100 ms."""
+    from ..plans.chunked import scan, spread
+
+    long = F.greatest(F.length("text"), F.lit(1)).cast("bigint") * 100
+    rows = t.conversations.select(
+        F.concat(F.lit("C"), F.col("conv_id").cast("string")).alias("recording_id"),
+        "conv_id", F.col("turn").cast("bigint").alias("pos"), F.col("role").alias("speaker"), "text",
+        long.alias("long_ms"),
+    )
+    out = scan(rows, ["recording_id"], ["pos"], spread("pos", 1024), total={"_upto": F.col("long_ms")})
+    return out.withColumn("from_ms", F.col("_upto") - F.col("long_ms")).drop("_upto")
+
+
+def turns(t: Tables) -> DataFrame:
+    a, n = F.col("from_ms"), F.col("long_ms")
+    return talk(t).select(
+        "recording_id", "pos", (a / 1000).alias("start_s"),
+        ((a + F.floor(n * 6 / 10)) / 1000).alias("end_s"), "speaker",
+    )
+
+
+def segments(t: Tables) -> DataFrame:
+    a, n = F.col("from_ms") + 1300, F.col("long_ms")
+    return talk(t).select(
+        "recording_id", "pos", (a / 1000).alias("start_s"), ((a + n) / 1000).alias("end_s"), "text"
+    )
+
+
+def members(t: Tables) -> DataFrame:
+    """Conversations as recordings of trips of five."""
+    c = F.col("conv_id")
+    return talk(t).groupBy("recording_id", "conv_id").agg(F.sum("long_ms").alias("_ms")).select(
+        "recording_id", F.floor(c / 5).cast("bigint").alias("trip_id"), c.alias("recording_key"),
+        (c * 600).alias("start_s"), (F.floor(c / 5).cast("bigint") * 3000).alias("trip_start_s"),
+        F.when(c % 6 == 0, "P").otherwise("N").alias("kind"),
+        F.when(c % 7 != 0, F.col("_ms") / 1000).alias("video_s"),
+    )
+
+
+SQL_TALK = """
+talk AS (
+  SELECT 'C' || conv_id AS recording_id, conv_id, CAST(turn AS BIGINT) AS pos, role AS speaker, text,
+    greatest(length(text), 1) * 100 AS long_ms,
+    CAST(sum(greatest(length(text), 1) * 100) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT)
+      - greatest(length(text), 1) * 100 AS from_ms
+  FROM conversations),
+turns AS (SELECT recording_id, pos, from_ms / 1000.0::DOUBLE AS start_s,
+  (from_ms + long_ms * 6 // 10) / 1000.0::DOUBLE AS end_s, speaker FROM talk),
+segs AS (SELECT recording_id, pos, (from_ms + 1300) / 1000.0::DOUBLE AS start_s,
+  (from_ms + 1300 + long_ms) / 1000.0::DOUBLE AS end_s, text FROM talk),
+members AS (SELECT recording_id, conv_id // 5 AS trip_id, conv_id AS recording_key, conv_id * 600 AS start_s,
+  conv_id // 5 * 3000 AS trip_start_s, CASE WHEN conv_id % 6 = 0 THEN 'P' ELSE 'N' END AS kind,
+  CASE WHEN conv_id % 7 <> 0 THEN CAST(sum(long_ms) AS BIGINT) / 1000.0::DOUBLE END AS video_s
+  FROM talk GROUP BY recording_id, conv_id)
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, ids  # noqa: F401
-from ..operators import trips
+from ..functions import ids
+from ..operators import movement, trips
 from .bindings import (
     HOUR, SQL_DAY_RECORDINGS, SQL_DAY_SAMPLES, SQL_FIXES, SQL_RECORDINGS,
     day_recordings, day_samples, fixes, recordings,
@@ -212,3 +212,158 @@ def real_elapsed(t):
             F.when(e % 4 != 0, F.floor("value")), e % 10 == 0,
         ).alias("elapsed_s"),
     )
+
+
+EDGE = 2 * HOUR
+SQL_GPS_EDGES = f"""
+ok AS (SELECT * FROM fix WHERE valid AND speed_kmh IS NOT NULL),
+lim AS (SELECT camera_id, recording_id, arg_min(ts_us, pos) AS a, arg_max(ts_us, pos) AS b
+  FROM ok GROUP BY ALL),
+gps AS (SELECT camera_id, recording_id,
+  bool_or(speed_kmh >= 30) FILTER (ts_us <= a + {EDGE * 1000000}) AS gps_start,
+  bool_or(speed_kmh >= 30) FILTER (ts_us >= b - {EDGE * 1000000}) AS gps_end
+  FROM ok JOIN lim USING (camera_id, recording_id) GROUP BY ALL)
+"""
+
+
+@query("movement_gps_edges", f"WITH {SQL_FIXES}, {SQL_GPS_EDGES} SELECT * FROM gps")
+def gps_edges(t):
+    return movement.gps_edges(fixes(t), edge_s=EDGE, moving_kmh=30)
+
+
+SQL_VARIANCE = f"""
+mag AS (SELECT *, sqrt(CAST(x * x + y * y + z * z AS DOUBLE)) AS m FROM smp),
+one AS (SELECT camera_id, recording_id, arg_min(offset_ms, pos) AS a, arg_max(offset_ms, pos) AS b
+  FROM mag GROUP BY ALL),
+win AS (SELECT camera_id, recording_id, (offset_ms - a) // {EDGE * 1000} AS window_no,
+  count(*) AS samples, var_pop(m) AS variance
+  FROM mag JOIN one USING (camera_id, recording_id) GROUP BY ALL HAVING count(*) >= 2)
+"""
+
+
+@query("gsensor_window_variance", f"""
+WITH {SQL_DAY_SAMPLES}, {SQL_VARIANCE}
+SELECT camera_id, recording_id, window_no, samples, round(variance, 3) AS variance FROM win
+""")
+def window_variance(t):
+    out = movement.window_variances(day_samples(t), window_s=EDGE)
+    return out.withColumn("variance", F.round("variance", 3))
+
+
+SQL_GSENSOR_EDGES = f"""
+{SQL_VARIANCE},
+base AS (SELECT camera_id, recording_id, min(variance) AS baseline FROM win GROUP BY ALL),
+edge AS (SELECT camera_id, recording_id,
+  var_pop(m) FILTER (offset_ms <= a + {EDGE * 1000}) AS vs, count(*) FILTER (offset_ms <= a + {EDGE * 1000}) AS ns,
+  var_pop(m) FILTER (offset_ms >= b - {EDGE * 1000}) AS ve, count(*) FILTER (offset_ms >= b - {EDGE * 1000}) AS ne
+  FROM mag JOIN one USING (camera_id, recording_id) GROUP BY ALL),
+acc AS (SELECT camera_id, recording_id,
+  CASE WHEN ns >= 2 THEN CASE WHEN baseline = 0 THEN vs > 0 ELSE vs >= baseline * 3 END END AS gsensor_start,
+  CASE WHEN ne >= 2 THEN CASE WHEN baseline = 0 THEN ve > 0 ELSE ve >= baseline * 3 END END AS gsensor_end
+  FROM edge JOIN base USING (camera_id, recording_id))
+"""
+
+
+@query("movement_gsensor_edges",
+       f"WITH {SQL_DAY_SAMPLES}, {SQL_GSENSOR_EDGES} SELECT * FROM acc")
+def gsensor_edges(t):
+    return movement.gsensor_edges(day_samples(t), edge_s=EDGE)
+
+
+SQL_SPANS = """
+span AS (SELECT camera_id, recording_id, min(ts_us) AS a_us, arg_min(lat, pos) AS a_lat,
+  arg_min(lon, pos) AS a_lon, arg_max(ts_us, pos) AS b_us, arg_max(lat, pos) AS b_lat,
+  arg_max(lon, pos) AS b_lon
+  FROM fix WHERE valid AND lat IS NOT NULL GROUP BY ALL)
+"""
+SQL_SPANS = SQL_SPANS.replace("min(ts_us)", "arg_min(ts_us, pos)")
+
+DAY_GAP = 10 * HOUR
+SQL_HAVERSINE = """2 * 6371000.0 * asin(least(1.0, sqrt(
+  pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2}))
+  * pow(sin((radians({3}) - radians({1})) / 2), 2))))"""
+
+
+@query("trips_movement_bridge", f"""
+WITH {SQL_FIXES}, {SQL_DAY_SAMPLES}, {SQL_DAY_RECORDINGS}, {SQL_GPS_EDGES}, {SQL_GSENSOR_EDGES},
+near AS (
+  SELECT *, start_s - lag(start_s + duration_s) OVER w AS gap_s, lag(recording_id) OVER w AS prev_id
+  FROM day WINDOW w AS (PARTITION BY camera_id ORDER BY start_s, recording_key)),
+flags AS (
+  SELECT n.*, e.gps_end AS p_gps, f.gsensor_end AS p_acc, g.gps_start, h.gsensor_start
+  FROM near n LEFT JOIN gps e ON e.camera_id = n.camera_id AND e.recording_id = n.prev_id
+  LEFT JOIN acc f ON f.camera_id = n.camera_id AND f.recording_id = n.prev_id
+  LEFT JOIN gps g ON g.camera_id = n.camera_id AND g.recording_id = n.recording_id
+  LEFT JOIN acc h ON h.camera_id = n.camera_id AND h.recording_id = n.recording_id),
+why AS (
+  SELECT *, CASE WHEN gap_s > {DAY_GAP + 10} THEN CASE
+    WHEN p_gps THEN 'GPS speed at or above 30 km/h near the end of ' || prev_id
+    WHEN p_acc THEN 'g-sensor variance over its quiet baseline near the end of ' || prev_id
+    WHEN gps_start THEN 'GPS speed at or above 30 km/h near the start of ' || recording_id
+    WHEN gsensor_start THEN 'g-sensor variance over its quiet baseline near the start of ' || recording_id
+    END END AS bridge_reason FROM flags),
+marks AS (SELECT *, CASE WHEN prev_id IS NULL THEN 'first'
+  WHEN gap_s > {DAY_GAP + 10} AND bridge_reason IS NULL THEN 'gap'
+  WHEN gap_s > {DAY_GAP + 10} THEN 'bridged' ELSE 'within' END AS rule FROM why)
+SELECT camera_id, recording_id, rule, bridge_reason,
+  CAST(sum(CASE WHEN rule IN ('first', 'gap') THEN 1 ELSE 0 END) OVER
+    (PARTITION BY camera_id ORDER BY start_s, recording_key) AS BIGINT) AS trip_no FROM marks
+""")
+def movement_bridge(t):
+    known = movement.with_edges(
+        day_recordings(t), fixes(t), day_samples(t), max_gap_s=DAY_GAP, edge_s=EDGE, moving_kmh=30
+    )
+    found = trips.detect(
+        known, max_gap_s=DAY_GAP, bridge=movement.bridge_rule(30), extra=movement.EDGE_COLUMNS,
+        chunk_s=7 * 24 * HOUR,
+    )
+    return found.select("camera_id", "recording_id", "rule", "bridge_reason", "trip_no")
+
+
+@query("recordings_gps_span", f"""
+WITH {SQL_FIXES}, {SQL_SPANS},
+tag AS (SELECT DISTINCT camera_id, recording_id FROM fix)
+SELECT camera_id, recording_id, coalesce(a_lat, 58.5) AS start_lat, coalesce(a_lon, 17.5) AS start_lon,
+  coalesce(b_lat, 58.5) AS end_lat, coalesce(b_lon, 17.5) AS end_lon
+FROM tag LEFT JOIN span USING (camera_id, recording_id)
+""")
+def gps_span(t):
+    tags = day_recordings(t).select(
+        *movement.RECORDING, (F.col("start_s") * 1000000).alias("tag_ts_us"),
+        F.lit(58.5).alias("tag_lat"), F.lit(17.5).alias("tag_lon"),
+    )
+    return movement.gps_span(fixes(t), tags).select(
+        *movement.RECORDING,
+        F.col("start_fix.lat").alias("start_lat"), F.col("start_fix.lon").alias("start_lon"),
+        F.col("end_fix.lat").alias("end_lat"), F.col("end_fix.lon").alias("end_lon"),
+    )
+
+
+JUMP_KMH = 1.5
+
+
+@query("trips_impossible_jump", f"""
+WITH {SQL_FIXES}, {SQL_DAY_RECORDINGS}, {SQL_SPANS},
+near AS (
+  SELECT d.*, start_s - lag(start_s + duration_s) OVER w AS gap_s, lag(d.recording_id) OVER w AS prev_id,
+    a_us, a_lat, a_lon, lag(b_us) OVER w AS p_us, lag(b_lat) OVER w AS p_lat, lag(b_lon) OVER w AS p_lon
+  FROM day d LEFT JOIN span USING (camera_id, recording_id)
+  WINDOW w AS (PARTITION BY d.camera_id ORDER BY start_s, d.recording_key)),
+speed AS (SELECT *, (a_us - p_us) / 1000000.0 AS el,
+  ({SQL_HAVERSINE.format('p_lat', 'p_lon', 'a_lat', 'a_lon')} / 1000) / ((a_us - p_us) / 1000000.0 / 3600) AS kmh
+  FROM near),
+marks AS (SELECT *, CASE WHEN prev_id IS NULL THEN 'first'
+  WHEN el >= 60 AND kmh > {JUMP_KMH} THEN 'force' WHEN gap_s > {DAY_GAP + 10} THEN 'gap'
+  ELSE 'within' END AS rule FROM speed)
+SELECT camera_id, recording_id, rule, CASE WHEN el >= 60 AND kmh > {JUMP_KMH} THEN
+   'implied speed of ' || CAST(round_even(kmh, 0) AS BIGINT) || ' km/h between ' || prev_id || ' and '
+   || recording_id || ' is over {JUMP_KMH:g} km/h' END AS force_reason FROM marks
+""")
+def impossible_jump(t):
+    spans = movement.gps_span(fixes(t))
+    found = trips.detect(
+        day_recordings(t).join(spans, movement.RECORDING, "left"), max_gap_s=DAY_GAP,
+        force_split=movement.jump_rule(JUMP_KMH), extra=("start_fix", "end_fix"),
+        chunk_s=7 * 24 * HOUR,
+    )
+    return found.select("camera_id", "recording_id", "rule", "force_reason")

@@ -177,3 +177,44 @@ def scan(
 def spread(column: Column | str, width: float) -> Column:
     """Chunk number of a numeric order column."""
     return F.floor(_col(column) / F.lit(width)).cast("bigint")
+
+
+def attach(
+    df: DataFrame, keys: Sequence[str], chunk: Column, whole: Mapping[str, tuple[Column, Callable]]
+) -> DataFrame:
+    """Add whole-key aggregates to every row.
+
+    ``whole`` maps a name to (aggregate of one chunk, function combining chunk values).
+    The join back runs on ``keys + chunk``, so a huge key is spread over many tasks.
+    """
+    keys = list(keys)
+    part = [*keys, CHUNK]
+    base = df.withColumn(CHUNK, chunk)
+    partial = base.groupBy(*part).agg(*[agg.alias(n) for n, (agg, _) in whole.items()])
+    per_key = Window.partitionBy(*keys)
+    link = partial.select(
+        *part, *[combine(F.col(n)).over(per_key).alias(n) for n, (_, combine) in whole.items()]
+    )
+    return base.join(link, part).drop(CHUNK)
+
+
+def smooth(
+    df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str], window: int = 5,
+    chunk_rows: int = 4096,
+) -> DataFrame:
+    """Centred moving average over a dense row position, shrinking at the ends.
+
+    Rows near a chunk edge are copied into the neighbour chunk as a halo.
+    """
+    half = window // 2
+    at = F.col(pos)
+
+    def home(p: Column) -> Column:
+        return F.floor(p / chunk_rows).cast("bigint")
+
+    copies = df.withColumn(
+        CHUNK, F.explode(F.array_distinct(F.array(home(at), home(at - half), home(at + half))))
+    )
+    w = Window.partitionBy(*keys, CHUNK).orderBy(pos).rowsBetween(-half, half)
+    means = {f"{v}_smooth": F.avg(v).over(w) for v in values}
+    return copies.withColumns(means).filter(F.col(CHUNK) == home(at)).drop(CHUNK)

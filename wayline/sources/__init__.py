@@ -1 +1 @@
-
+"""Readers: files and texts to the common schemas."""
