@@ -86,9 +86,9 @@ def scan(
     if derive is not None:
         # rows other than the first of a chunk can be derived locally; the
         # first one is kept whole and derived once its predecessor is known
-        inner = base.withColumn("_before", F.lag(prev_struct).over(in_chunk))
-        live = F.col("_before").isNotNull()
-        inner = inner.select("*", *[F.col("_before")[n].alias(n) for n in prev])
+        inner = base.withColumn("_in_prev", F.lag(prev_struct).over(in_chunk))
+        live = F.col("_in_prev").isNotNull()
+        inner = inner.select("*", *[F.col("_in_prev")[n].alias(n) for n in prev])
         inner = derive(inner)
         head_cols = list(dict.fromkeys([*derive_from, *order]))
         aggs.append(
@@ -169,7 +169,7 @@ def scan(
     for n, e in fill_back.items():
         added[n] = F.coalesce(F.first(_col(e), ignorenulls=True).over(to_come), F.col(f"_b_{n}.v"))
     out = out.withColumns(added) if added else out
-    scratch = [CHUNK, "_prev", "_next", "_before"]
+    scratch = [CHUNK, "_prev", "_next", "_in_prev"]
     scratch += [f"_{p}_{n}" for p, g in zip("tpfb", (total, peak, fill, fill_back)) for n in g]
     return out.drop(*scratch)
 

@@ -1 +1 @@
-
+"""Structured Streaming operators over live telemetry."""
