@@ -115,8 +115,10 @@ def video_offsets(
     used = recordings.filter("video_s IS NOT NULL")
     if not include_parking:
         used = used.filter("kind <> 'P'")
-    known = attach(used, keys, chunk, {"video_total_s": (F.sum("video_s"), F.sum)})
-    out = scan(known, keys, order, chunk, total={"_upto": F.col("video_s")})
+    out = scan(
+        used, keys, order, chunk, total={"_upto": F.col("video_s")},
+        whole={"video_total_s": (F.sum("video_s"), F.sum)},
+    )
     return out.withColumn("video_offset_s", F.col("_upto") - F.col("video_s")).drop("_upto")
 
 

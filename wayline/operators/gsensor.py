@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.asof import bracket
-from ..plans.chunked import attach, scan, smooth, spread
+from ..plans.chunked import scan, smooth, spread
 
 # Padding of the strip chart and of the gauge, smallest scale, smoothing window.
 STRIP_PADDING = 1.2
@@ -142,13 +142,10 @@ def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> Da
     """
     track = ["recording_id"]
     at = spread("offset_ms", chunk_ms)
-    known = attach(
-        samples, track, at,
-        {"_end_ms": (F.max("offset_ms"), F.max), "_n": (F.count(F.lit(1)), F.sum)},
-    )
     known = scan(
-        known, track, ["offset_ms", "pos"], at,
+        samples, track, ["offset_ms", "pos"], at,
         prev={"_prev_ms": F.col("offset_ms")}, nxt={"_next_ms": F.col("offset_ms")},
+        whole={"_end_ms": (F.max("offset_ms"), F.max)},
     )
     cut = F.col("_end_ms") - int(MAX_S * 1000)
     known = known.select(
@@ -156,14 +153,16 @@ def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> Da
         (F.coalesce("_next_ms", "_end_ms") >= cut).alias("_tail"),
         (F.coalesce("_prev_ms", F.lit(0)) <= int(WINDOW_S * 1000)).alias("_head"),
     )
-    cols = ["offset_ms", "pos", "x", "y", "z", "_end_ms"]
     pair = ["before_id", "after_id"]
-    tail = pairs.join(
-        known.filter("_tail").select(F.col("recording_id").alias("before_id"), *cols), "before_id"
-    ).select(*pair, F.lit(0).alias("side"), *cols)
-    head = pairs.join(
-        known.filter("_head").select(F.col("recording_id").alias("after_id"), *cols), "after_id"
-    ).select(*pair, F.lit(1).alias("side"), *cols)
+    roles = F.explode(
+        F.array(
+            F.struct(F.col("before_id").alias("recording_id"), F.lit(0).alias("side")),
+            F.struct(F.col("after_id").alias("recording_id"), F.lit(1).alias("side")),
+        )
+    )
+    asked = pairs.select(*pair, roles.alias("_r")).select(*pair, "_r.*")
+    wanted = F.when(F.col("side") == 0, F.col("_tail")).otherwise(F.col("_head"))
+    parts = known.filter("_tail OR _head").join(asked, "recording_id").filter(wanted)
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "offset_ms", "pos"])
@@ -177,7 +176,7 @@ def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> Da
         )
 
     found = (
-        tail.unionByName(head).groupBy(*pair)
+        parts.select(*pair, "side", "offset_ms", "pos", "x", "y", "z", "_end_ms").groupBy(*pair)
         .applyInPandas(compare, "before_id STRING, after_id STRING, overlap_s DOUBLE")
     )
     return found.withColumn("overlap_s", F.nanvl("overlap_s", F.lit(None).cast("double")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.ids import Interval
-from ..plans.chunked import attach, scan
+from ..plans.chunked import scan
 from ..plans.overlap import overlap_join
 
 # Entries shown by default, slack around a run when matching log lines.
@@ -50,8 +50,9 @@ def tail(entries: DataFrame, keys: Sequence[str], count: int | None = TAIL, chun
     if count is None:
         return entries
     chunk = F.floor(F.col("number") / chunk_rows).cast("bigint")
-    ranked = scan(entries, keys, ["number"], chunk, number="_rank")
-    known = attach(ranked, keys, chunk, {"_all": (F.count(F.lit(1)), F.sum)})
+    known = scan(
+        entries, keys, ["number"], chunk, number="_rank", whole={"_all": (F.count(F.lit(1)), F.sum)}
+    )
     return known.filter(F.col("_rank") > F.col("_all") - count).drop("_rank", "_all")
 
 

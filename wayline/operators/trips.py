@@ -125,21 +125,14 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
         "parking-runs",
     )
     in_run = marked.filter(parking)
-    totals = in_run.groupBy("camera_id", "_run").agg(F.sum("_added").alias("_run_total"))
-    over = totals.filter(F.col("_run_total") > cap_s).select("camera_id", "_run")
-    walked = settle(
-        in_run.join(over, ["camera_id", "_run"], "left_semi")
-        .select("camera_id", "_run", "start_s", "recording_key", "_added")
-        .repartition("camera_id", "_run")
-        .sortWithinPartitions("camera_id", "_run", "start_s", "recording_key")
-        .groupBy("camera_id", "_run")
-        .applyInPandas(
-            _walker(float(cap_s)),
-            "camera_id BIGINT, _run BIGINT, start_s BIGINT, recording_key BIGINT, "
-            "_cut BOOLEAN, _asked BIGINT, _held BIGINT",
-        ),
-        "parking-walk",
+    totals = in_run.groupBy("camera_id", "_run").agg(
+        F.sum("_added").alias("_run_total"), F.count(F.lit(1)).alias("_rows")
+    )
+    over = totals.filter(F.col("_run_total") > cap_s).select("camera_id", "_run", "_rows")
+    in_over = in_run.join(over, ["camera_id", "_run"], "left_semi").select(
+        "camera_id", "_run", "start_s", "recording_key", "_added"
     )
+    walked = settle(_walk_runs(in_over, over, float(cap_s)), "parking-walk")
     # total still running when a run ends: the walk's last value, else the plain sum
     last = walked.groupBy("camera_id", "_run").agg(
         F.max_by("_held", F.struct("start_s", "recording_key")).alias("_last_held")
@@ -180,6 +173,46 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
     )
 
 
+SHORT_RUN = 256
+WALKED = (
+    "camera_id BIGINT, _run BIGINT, start_s BIGINT, recording_key BIGINT, _cut BOOLEAN, _asked BIGINT, _held BIGINT"
+)
+
+
+def _walk_runs(rows: DataFrame, over: DataFrame, cap_s: float) -> DataFrame:
+    """Sequential cap verdicts. Short runs are folded as arrays, long ones are streamed."""
+    short = over.filter(F.col("_rows") <= SHORT_RUN)
+    long = over.filter(F.col("_rows") > SHORT_RUN)
+    run = ["camera_id", "_run"]
+    steps = rows.join(short, run, "left_semi").groupBy(*run).agg(
+        F.array_sort(F.collect_list(F.struct("start_s", "recording_key", "_added"))).alias("_steps")
+    )
+
+    def step(done: Column, x: Column) -> Column:
+        before = F.element_at(done, -1)["_held"]
+        want = before + x["_added"]
+        cut = want > cap_s
+        held = F.when(cut, x["_added"]).otherwise(want)
+        return F.concat(done, F.array(_verdict(x, cut, want, held)))
+
+    first = F.element_at("_steps", 1)
+    seed = F.array(_verdict(first, F.lit(False), first["_added"], first["_added"]))
+    folded = F.aggregate(F.slice("_steps", F.lit(2), F.lit(SHORT_RUN)), seed, step)
+    quick = steps.select(*run, F.explode(folded).alias("_v")).select(*run, "_v.*")
+    slow = (
+        rows.join(long, run, "left_semi").repartition(*run).sortWithinPartitions(*run, "start_s", "recording_key")
+        .groupBy(*run).applyInPandas(_walker(cap_s), WALKED)
+    )
+    return quick.unionByName(slow)
+
+
+def _verdict(x: Column, cut: Column, asked: Column, held: Column) -> Column:
+    return F.struct(
+        x["start_s"].alias("start_s"), x["recording_key"].alias("recording_key"), cut.alias("_cut"),
+        asked.alias("_asked"), held.alias("_held"),
+    )
+
+
 def _walker(cap_s: float):
     """Greedy walk over one parking run, in order, one batch at a time."""
 
@@ -332,8 +365,8 @@ def detect_interval(
     """``touching(detect(...))`` that reads only the dates around the interval.
 
     ``date_column`` (YYYYMMDD text) is the partition column. The date range is
-    widened, doubling each time, until no kept trip of any camera begins or ends at
-    the edge of what was read; then the result equals that of a full build.
+    widened for the cameras whose kept trips begin or end at the edge of what was read,
+    until none is left; then the result equals that of a full build.
     """
     spark = recordings.sparkSession
     bounds = recordings.agg(F.min(date_column).alias("a"), F.max(date_column).alias("b")).first()
@@ -347,25 +380,30 @@ def detect_interval(
 
     first = min(max(interval.dates[0], lo_all), hi_all)
     last = max(min(interval.dates[1], hi_all), lo_all)
-    margin = margin_days
+    margin, open_cameras, done = margin_days, None, []
     while True:
         lo, hi = max(shift(first, -margin), lo_all), min(shift(last, margin), hi_all)
         window = recordings.filter(F.col(date_column).between(lo, hi))
-        kept = touching(detect(window, **rules, extra=(date_column,)), interval)
+        if open_cameras is not None:
+            window = window.join(open_cameras, "camera_id", "left_semi")
+        kept = settle(touching(detect(window, **rules, extra=(date_column,)), interval), "interval-trips")
         if lo == lo_all and hi == hi_all:
-            return kept
-        # proven when a recording outside each kept trip was seen on both sides,
-        # or the edge day is the first / last one that exists
-        edge = window.groupBy("camera_id").agg(
-            F.min(F.struct("start_s", "recording_key")).alias("_lo"),
-            F.max(F.struct("start_s", "recording_key")).alias("_hi"),
-        )
+            break
+        # a camera is proven when recordings outside its kept trips were seen on both
+        # sides, or the edge of what was read is the edge of what exists
         at = F.struct("start_s", "recording_key")
+        edge = window.groupBy("camera_id").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         open_lo = (at == F.col("_lo")) & F.lit(lo != lo_all)
         open_hi = (at == F.col("_hi")) & F.lit(hi != hi_all)
-        if kept.join(edge, "camera_id").filter(open_lo | open_hi).isEmpty():
-            return kept
-        margin *= 2
+        unproven = kept.join(edge, "camera_id").filter(open_lo | open_hi)
+        open_cameras = settle(unproven.select("camera_id").distinct(), "open-cameras")
+        if open_cameras.isEmpty():
+            break
+        done.append(kept.join(open_cameras, "camera_id", "left_anti"))
+        margin *= 4
+    for part in done:
+        kept = kept.unionByName(part)
+    return kept
 
 
 def before_events(recordings: DataFrame, chunk_s: int = DAY_S) -> DataFrame:

@@ -41,6 +41,7 @@ def scan(
     fill: Exprs | None = None,
     fill_back: Exprs | None = None,
     number: str | None = None,
+    whole: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
 ) -> DataFrame:
     """Add order-dependent columns to ``df``.
 
@@ -55,12 +56,14 @@ def scan(
     fill        last non-NULL value at or before the row
     fill_back   first non-NULL value at or after the row
     number      1-based row number
+    whole       whole-key aggregates: (aggregate of one chunk, function combining chunks)
 
     ``total``, ``peak`` and ``fill`` may use columns made by ``derive``.
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
     total, peak = dict(total or {}), dict(peak or {})
     fill, fill_back = dict(fill or {}), dict(fill_back or {})
+    whole = dict(whole or {})
     if number:
         total[number] = F.lit(1).cast("bigint")
 
@@ -110,6 +113,7 @@ def scan(
                 F.struct(_col(e).alias("v")), F.when(_col(e).isNotNull(), position)
             ).alias(f"_b_{n}")
         )
+    aggs += [agg.alias(f"_w_{n}") for n, (agg, _) in whole.items()]
     edges = inner.groupBy(*part).agg(*aggs)
 
     # --- carry over chunks, one row per chunk --------------------------
@@ -143,6 +147,8 @@ def scan(
     carry += [
         F.first(f"_b_{n}", ignorenulls=True).over(after).alias(f"_b_{n}") for n in fill_back
     ]
+    per_key = Window.partitionBy(*keys)
+    carry += [combine(F.col(f"_w_{n}")).over(per_key).alias(n) for n, (_, combine) in whole.items()]
     carried = edges.select(*carry)
 
     # --- back onto the rows --------------------------------------------

@@ -27,10 +27,9 @@ TRIP_FLAGS = {
 def history(lines: DataFrame, text: str = "value") -> DataFrame:
     """History entries of JSON lines; lines with bad JSON or wrong keys are dropped."""
     kept = [c for c in lines.columns if c != text]
-    keys = F.json_object_keys(F.trim(text))
-    allowed = F.array(*[F.lit(k) for k in (*HISTORY_REQUIRED, *HISTORY_OPTIONAL)])
-    required = F.array(*[F.lit(k) for k in HISTORY_REQUIRED])
-    good = (F.size(F.array_except(keys, allowed)) == 0) & (F.size(F.array_except(required, keys)) == 0)
+    keys = F.array_sort(F.array_distinct(F.json_object_keys(F.trim(text))))
+    complete = [sorted(HISTORY_REQUIRED), sorted(HISTORY_REQUIRED + HISTORY_OPTIONAL)]
+    good = keys.isin(*[F.array(*[F.lit(k) for k in names]) for names in complete])
     return lines.filter(F.coalesce(good, F.lit(False))).select(*kept, F.from_json(text, HISTORY).alias("_h")).select(
         *kept, "_h.*"
     )

@@ -12,6 +12,7 @@ from ..functions.text import squeeze, srt_seconds  # noqa: F401
 
 # Line ends, subtitle timing line, timed bullet marker, sign-read stamp.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+LINE_ENDS = tuple("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 TIMING = (
     r"(\d+):(\d{2}):(\d{2}),(\d{3})[^\S\r\n]*-->[^\S\r\n]*(\d+):(\d{2}):(\d{2}),(\d{3})"
 )
@@ -26,12 +27,20 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
+ALL = 2**30
+
+
 def lines_of(text: Column) -> Column:
     """Array of lines; a final line end adds no empty line."""
-    lines = F.split(text, LINE_END)
-    return F.when(
-        F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)
-    ).otherwise(lines)
+    size = F.length(text)
+    cut = F.when(F.right(text, F.lit(2)) == "\r\n", 2).when(F.right(text, F.lit(1)).isin(*LINE_ENDS), 1).otherwise(0)
+    body = F.left(text, size - cut)
+    return F.when(text != "", F.split(body, LINE_END)).otherwise(F.array().cast("array<string>"))
+
+
+def _rest(parts: Column) -> Column:
+    """All parts but the first."""
+    return F.slice(parts, F.lit(2), F.lit(ALL))
 
 
 def text_lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -75,7 +84,7 @@ def scene_events(files: DataFrame, text: str = "text") -> DataFrame:
     stamps = F.regexp_extract_all(F.col(text), F.lit(BULLET), 1)
     words = F.split(F.col(text), BULLET)
     pairs = F.zip_with(
-        stamps, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+        stamps, _rest(words),
         lambda s, w: F.struct(
             F.regexp_replace(F.regexp_replace(s, r"\s+", ""), "(?i)s$", "").try_cast("double").alias("t_s"),
             squeeze(w).alias("text"),
@@ -102,7 +111,7 @@ def sign_reads(files: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.transform(F.split(body, "\n"), _trim), lambda x: x != "")
     bullets = F.split(F.concat(F.lit("\n"), F.array_join(lines, "\n")), "\n- ")
     reads = F.transform(
-        F.slice(bullets, 2, F.greatest(F.size(bullets) - 1, F.lit(0))),
+        _rest(bullets),
         lambda b: _trim(F.regexp_replace(b, r"\s*\n", " ")),
     )
     legible = F.filter(
