@@ -40,7 +40,7 @@ step AS (SELECT *, lag(eff) OVER w AS peff, lag(lat) OVER w AS plat, lag(lon) OV
 seg AS (SELECT *, (ts_us - pts) / 1000000.0::DOUBLE AS el,
   CASE WHEN pts IS NOT NULL THEN coalesce((eff + peff) / 2, eff, peff) END AS pace FROM step)
 SELECT camera_id, count(*) AS fixes,
-  round(sum({SQL_HAVERSINE.format('plat', 'plon', 'lat', 'lon')}) / 1000, 6) AS distance_km,
+  round(sum(({SQL_HAVERSINE.format('plat', 'plon', 'lat', 'lon')})) / 1000, 6) AS distance_km,
   round(avg(speed_kmh), 6) AS average_speed_kmh, round(max(speed_kmh), 6) AS max_speed_kmh,
   round(sum(CASE WHEN pace >= 5 THEN el WHEN pace IS NOT NULL THEN 0 END), 3) AS moving_seconds,
   round(sum(CASE WHEN pace < 5 THEN el WHEN pace IS NOT NULL THEN 0 END), 3) AS idle_seconds,

@@ -279,9 +279,10 @@ span AS (SELECT camera_id, recording_id, min(ts_us) AS a_us, arg_min(lat, pos) A
 SQL_SPANS = SQL_SPANS.replace("min(ts_us)", "arg_min(ts_us, pos)")
 
 DAY_GAP = 10 * HOUR
-SQL_HAVERSINE = """2 * 6371000.0 * asin(least(1.0, sqrt(
-  pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2}))
-  * pow(sin((radians({3}) - radians({1})) / 2), 2))))"""
+# the CASE keeps NULL points NULL, least() alone would skip them
+SQL_HAVERSINE = """CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL AND {2} IS NOT NULL AND {3} IS NOT NULL THEN
+  2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2}))
+  * pow(sin((radians({3}) - radians({1})) / 2), 2)))) END"""
 
 
 @query("trips_movement_bridge", f"""
@@ -350,7 +351,7 @@ near AS (
   FROM day d LEFT JOIN span USING (camera_id, recording_id)
   WINDOW w AS (PARTITION BY d.camera_id ORDER BY start_s, d.recording_key)),
 speed AS (SELECT *, (a_us - p_us) / 1000000.0 AS el,
-  ({SQL_HAVERSINE.format('p_lat', 'p_lon', 'a_lat', 'a_lon')} / 1000) / ((a_us - p_us) / 1000000.0 / 3600) AS kmh
+  (({SQL_HAVERSINE.format('p_lat', 'p_lon', 'a_lat', 'a_lon')}) / 1000) / ((a_us - p_us) / 1000000.0 / 3600) AS kmh
   FROM near),
 marks AS (SELECT *, CASE WHEN prev_id IS NULL THEN 'first'
   WHEN el >= 60 AND kmh > {JUMP_KMH} THEN 'force' WHEN gap_s > {DAY_GAP + 10} THEN 'gap'

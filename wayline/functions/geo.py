@@ -26,7 +26,8 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     a = F.sin(half_dlat) * F.sin(half_dlat) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * F.sin(half_dlon) * F.sin(half_dlon)
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(a))) * EARTH_RADIUS_M
+    # least() skips NULL, so an unknown point must be kept apart
+    return F.when(a.isNotNull(), 2 * F.asin(F.least(F.lit(1.0), F.sqrt(a))) * EARTH_RADIUS_M)
 
 
 def wrap(value: Column, period: float) -> Column:
