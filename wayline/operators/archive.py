@@ -154,7 +154,7 @@ def locked_requests(requests: DataFrame, locks: DataFrame, chunk: Column | None
     requests are never paired with all entries. An empty request is never locked.
     """
     by = ["camera_id", "_set"]
-    at = chunk if chunk is not None else F.substring("_at", 1, 6)
+    at = chunk if chunk is not None else F.substring("_at", 1, 8)
     sets = locks.withColumn("_set", F.array_join(F.array_sort(F.array_distinct("assets")), ","))
     reach = scan(
         sets.groupBy(*by, F.col("first").alias("_at")).agg(F.max("last").alias("last")),

@@ -72,7 +72,11 @@ def scan(
     base = df.withColumn(CHUNK, chunk)
     in_chunk = Window.partitionBy(*part).orderBy(*order)
     so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    to_come = in_chunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # looking ahead runs over the reversed order: a frame open to the end costs n * n
+    backward = [F.col(c).desc_nulls_last() for c in order]
+    to_come = Window.partitionBy(*part).orderBy(*backward).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     position = F.struct(*[F.col(c) for c in order])
 
     prev_struct = F.struct(*[_col(e).alias(n) for n, e in prev.items()]) if prev else None
@@ -119,7 +123,9 @@ def scan(
     # --- carry over chunks, one row per chunk --------------------------
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     if prev:
         edges = edges.withColumn("_prev", F.lag("_tail").over(by_chunk))
     if derive is not None:
@@ -145,7 +151,7 @@ def scan(
     carry += [F.max(f"_p_{n}").over(before).alias(f"_p_{n}") for n in peak]
     carry += [F.last(f"_f_{n}", ignorenulls=True).over(before).alias(f"_f_{n}") for n in fill]
     carry += [
-        F.first(f"_b_{n}", ignorenulls=True).over(after).alias(f"_b_{n}") for n in fill_back
+        F.last(f"_b_{n}", ignorenulls=True).over(after).alias(f"_b_{n}") for n in fill_back
     ]
     per_key = Window.partitionBy(*keys)
     carry += [combine(F.col(f"_w_{n}")).over(per_key).alias(n) for n, (_, combine) in whole.items()]
@@ -173,7 +179,7 @@ def scan(
     for n, e in fill.items():
         added[n] = F.coalesce(F.last(_col(e), ignorenulls=True).over(so_far), F.col(f"_f_{n}.v"))
     for n, e in fill_back.items():
-        added[n] = F.coalesce(F.first(_col(e), ignorenulls=True).over(to_come), F.col(f"_b_{n}.v"))
+        added[n] = F.coalesce(F.last(_col(e), ignorenulls=True).over(to_come), F.col(f"_b_{n}.v"))
     out = out.withColumns(added) if added else out
     scratch = [CHUNK, "_prev", "_next", "_in_prev"]
     scratch += [f"_{p}_{n}" for p, g in zip("tpfb", (total, peak, fill, fill_back)) for n in g]

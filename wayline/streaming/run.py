@@ -18,12 +18,11 @@ SETTINGS = {
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 1000) -> DataFrame:
-    """Stream over the Parquet files of one table."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    )
+    """Stream over the Parquet files of one table, a single file or a folder of parts."""
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    # as a pattern the path may be either; a plain stream path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path}*")
 
 
 def drain(
@@ -36,15 +35,18 @@ def drain(
     leaves its rows once. ``step`` may reshape a batch before it is written.
     """
     spark = stream.sparkSession
+    resumed = out
     out = out or scratch_path(spark, f"{label}-out")
     checkpoint = checkpoint or scratch_path(spark, f"{label}-checkpoint")
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    wrote = []
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         rows = step(batch, batch_id) if step else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        wrote.append(batch_id)
 
     try:
         query = (
@@ -58,6 +60,8 @@ def drain(
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+    if not wrote and resumed is None:
+        return spark.createDataFrame([], stream.schema).withColumn("batch_id", F.lit(0))
     return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
 
 
