@@ -142,10 +142,12 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
         F.col("_run").alias("_ref"),
         F.coalesce("_last_held", "_run_total").alias("_carried"),
     )
+    # rows without a run before them get a key of their own that matches nothing; NULL
+    # keys would all meet in one task
     ref = F.when(
         prev_parking & (F.col("_opens") | ~parking),
         F.col("_run") - F.col("_opens").cast("bigint"),
-    )
+    ).otherwise(-1 - F.abs(F.xxhash64("recording_key") % 1000000))
     verdicts = walked.select("camera_id", "recording_key", "_cut", "_asked")
     out = (
         marked.withColumn("_ref", ref)
