@@ -175,8 +175,11 @@ def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> Da
             {"overlap_s": "float64"}
         )
 
+    # little data but much arithmetic per pair: a fixed partition count is not coalesced
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        parts.select(*pair, "side", "offset_ms", "pos", "x", "y", "z", "_end_ms").groupBy(*pair)
+        parts.select(*pair, "side", "offset_ms", "pos", "x", "y", "z", "_end_ms")
+        .repartition(tasks, *pair).groupBy(*pair)
         .applyInPandas(compare, "before_id STRING, after_id STRING, overlap_s DOUBLE")
     )
     return found.withColumn("overlap_s", F.nanvl("overlap_s", F.lit(None).cast("double")))

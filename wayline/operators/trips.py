@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -370,18 +372,16 @@ def detect_interval(
     widened for the cameras whose kept trips begin or end at the edge of what was read,
     until none is left; then the result equals that of a full build.
     """
-    spark = recordings.sparkSession
     bounds = recordings.agg(F.min(date_column).alias("a"), F.max(date_column).alias("b")).first()
     if bounds.a is None:
         return touching(detect(recordings, **rules), interval)
     lo_all, hi_all = bounds.a, bounds.b
 
     def shift(day: str, by: int) -> str:
-        text = f"to_date('{day}', 'yyyyMMdd')"
-        return spark.sql(f"SELECT date_format(date_add({text}, {by}), 'yyyyMMdd') AS d").first().d
+        return (datetime.strptime(day, "%Y%m%d") + timedelta(days=by)).strftime("%Y%m%d")
 
-    first = min(max(interval.dates[0], lo_all), hi_all)
-    last = max(min(interval.dates[1], hi_all), lo_all)
+    first = _real_day(min(max(interval.dates[0], lo_all), hi_all))
+    last = _real_day(max(min(interval.dates[1], hi_all), lo_all))
     margin, open_cameras, done = margin_days, None, []
     while True:
         lo, hi = max(shift(first, -margin), lo_all), min(shift(last, margin), hi_all)
@@ -408,6 +408,13 @@ def detect_interval(
     return kept
 
 
+def _real_day(text: str) -> str:
+    """Nearest calendar day of a padded bound such as 20240100 or 20240199."""
+    year, month = int(text[:4]), min(max(int(text[4:6]), 1), 12)
+    day = min(max(int(text[6:8]), 1), monthrange(year, month)[1])
+    return f"{year:04d}{month:02d}{day:02d}"
+
+
 def before_events(recordings: DataFrame, chunk_s: int = DAY_S) -> DataFrame:
     """Add ``with_video``: events, manual recordings and the one just before each."""
     wanted = F.col("kind").isin("E", "M")

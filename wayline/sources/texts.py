@@ -20,11 +20,14 @@ BULLET = r"(?i)-\s*\[\s*t\s*=\s*([^\]]*)\]"
 SIGN_STAMP = r"^\[t=(\d+(?:\.\d+)?)s\]\s*([\s\S]*)$"
 SIGN_HEADING = "zoomed sign reads"
 NOT_LEGIBLE = "not legible"
-EDGES = r"^\s+|\s+$"
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 ALL = 2**30
