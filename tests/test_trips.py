@@ -134,7 +134,7 @@ def test_interval_build_equals_full_build(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     stamp = F.date_format(F.timestamp_seconds("start_s"), "yyyyMMdd_HHmmss")
     df = df.withColumn("recording_id", F.concat(stamp, F.lit("_N"))).withColumn("date", F.substring("recording_id", 1, 8))
-    for span in (ids.interval(since="20240107", until="20240108"), ids.interval("202402")):
+    for span in (ids.interval(since="20240107", until="20240108"), ids.interval(since="20240120", until="202401")):
         full = trips.touching(trips.detect(df), span)
         part = trips.detect_interval(df, span)
         key = ["camera_id", "recording_key"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, srt_seconds  # noqa: F401
+from ..functions.text import squeeze, srt_seconds
 
 # Line ends, subtitle timing line, timed bullet marker, sign-read stamp.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
