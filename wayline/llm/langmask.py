@@ -1,12 +1,13 @@
 """Language identification with a Bloom filter whose slots hold one bit per language.
 
 ``fit`` counts character n-grams of a bounded sample of labelled rows and stores, for each language, its most
-frequent ones. A slot is a mask with one bit per language; the AND over an n-gram's slots gives all languages
+frequent ones; a language counts as containing an n-gram only if its share there is not far below the share it
+has in the language that uses it most, so that stray foreign words set no bit. A slot is a mask with one bit per language; the AND over an n-gram's slots gives all languages
 that contain it. ``identify`` adds up, per language, how many n-grams of a text carry its bit, takes off the
 share expected from false positives, and decides for the largest count.
 
-Results for odd input: null or letterless text gives ``und`` with score 0; ties go to the language first in
-alphabetical order; repeated rows each get a row; extra columns are ignored; an empty table gives no rows. With
+Results for odd input: null or letterless text gives ``und`` with score 0; ties go to the language with more
+labelled rows, then in alphabetical order; repeated rows each get a row; extra columns are ignored; an empty table gives no rows. With
 no labelled row at all there is no language to learn and every text is ``und``. Texts of any length are read
 whole, in pieces of a million characters.
 """
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.frames import map_columns, pick
+from wayline.session import settle
 
 ORDERS = (2, 4)
 UNKNOWN = "und"
@@ -28,6 +30,8 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 2_000
 GRAMS_PER_LANGUAGE = 60_000
 MAX_LANGUAGES = 64
+#: Least share of an n-gram in a language, against its largest share in any.
+CONTRAST = 0.3
 #: Slots of the filter, 8 bytes each; two hash functions.
 SLOTS = 1 << 20
 
@@ -100,7 +104,8 @@ class LanguageMasks:
 
     @classmethod
     def build(cls, kept: dict[str, np.ndarray], slots: int = SLOTS) -> LanguageMasks:
-        languages = sorted(kept)
+        """``kept``: hashes of the n-grams of each language; the first of its languages win ties."""
+        languages = list(kept)
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
         width = next(t for t in (8, 16, 32, 64) if t >= max(1, len(languages)))
@@ -179,9 +184,15 @@ def fit(
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
     rate = F.element_at(F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, rows / n)))), F.col("lang"))
     counted = map_columns(rows_of.where(draw < rate).select("lang", "text"), _count_grams, "lang string, gram long, n long")
-    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = settle(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
+    sizes = {r["lang"]: r["n"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
+        return LanguageMasks.build({x: np.array([], np.int64) for x in sorted(totals, key=lambda x: (-totals[x], x))})
+    share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, n))), F.col("lang"))
+    most = F.max("share").over(Window.partitionBy("gram"))
+    summed = settle(summed.withColumn("share", share).withColumn("most", most).where(F.col("share") >= CONTRAST * F.col("most")), "language-grams")
     kept = {}
-    for name in sorted(totals):
+    for name in sorted(totals, key=lambda x: (-totals[x], x)):
         top = summed.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(grams_per_language).select("gram")
         kept[name] = top.toPandas()["gram"].to_numpy(np.int64)
     return LanguageMasks.build(kept)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from wayline.llm import compression, langmask, neighbours  # noqa: E402
+from wayline.llm import compression, distinct_words, langmask, neighbours, packing  # noqa: E402
 
-for _module in (compression, neighbours, langmask):
+for _module in (compression, neighbours, langmask, distinct_words, packing):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
