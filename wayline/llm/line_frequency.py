@@ -83,7 +83,7 @@ def page_text(html: Column) -> Column:
     text = F.regexp_replace(text, "<[^>]*>", "")
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    lines = F.transform(F.split(text, "\n", -1), F.trim)
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

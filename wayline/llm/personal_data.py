@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.frames import pick
+from wayline.llm.frames import col, pick
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
@@ -51,9 +51,11 @@ GENERATORS = (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\(AT\)|\[AT\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\(DOT\)|\[DOT\]) ?[A-Za-z0-9-]++)++",
     ),
     ("ip", r"[0-9A-Fa-f][.:][0-9A-Fa-f]", r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}+(?:[.:]{1,2}[0-9A-Fa-f]{1,4}+){3,7}+(?![0-9A-Za-z])"),
-    ("card", r"[0-9][ .-]?[0-9]", r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,22}+(?![0-9])"),
-    ("phone", r"[0-9][ ().-]*[0-9]", r"(?<![0-9A-Za-z+])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,16}+(?![0-9])"),
+    ("card", r"[0-9][ .-]?[0-9]", r"(?<![0-9A-Za-z])[0-9](?:[\x20./-]?[0-9]){11,22}+(?![0-9A-Za-z])"),
+    ("phone", r"[0-9][ ().-]*[0-9]", r"(?<![0-9A-Za-z+])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,16}+(?![0-9A-Za-z])"),
 )
+#: What any span needs; most texts hold nothing of it and are passed over.
+ANY = r"[0-9@]|[(\[](?:at|AT)[)\]]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|addr)[a-z]*[ :.=-]*$"
 
@@ -107,7 +109,8 @@ def base_spans(text: Column) -> Column:
         fine = F.filter(matches(text, BASE[kind], HINTS[kind]), lambda m: _valid(kind, m["t"]))
         return F.transform(fine, lambda m: F.struct(F.lit(k).alias("k"), m["s"].alias("s"), m["e"].alias("e")))
 
-    return F.flatten(F.array(*(of_kind(k, kind) for k, kind in enumerate(KINDS))))
+    found = F.flatten(F.array(*(of_kind(k, kind) for k, kind in enumerate(KINDS))))
+    return F.when(text.rlike(ANY), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 #: Features with their largest value; each is a small whole number, so their vectors are a bounded grid.
@@ -247,7 +250,7 @@ def fit(docs: DataFrame, *, text: str = "text", precision: float = PRECISION) ->
     """Trees and thresholds from the candidates of all documents."""
     body = _searchable(F.col("text"))
     rows = pick(docs, text=text).where("text is not null").select(body.alias("text"))
-    rows = rows.where(F.col("text").rlike("|".join(f"(?:{h})" for _, h, _ in GENERATORS)))
+    rows = rows.where(F.col("text").rlike(ANY))
     held = rows.select("text", base_spans(F.col("text")).alias("base")).select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
     names = ["g", *GRID]
     grid = held.groupBy("c.fold", *(F.col(f"c.{n}").alias(n) for n in names)).agg(
@@ -271,7 +274,8 @@ def spans(text: Column, base: Column, model: BoostedTrees) -> Column:
     score = lambda c: model.column(c)
     limit = lambda c: sum((F.when(c["g"] == g, F.lit(t)).otherwise(0.0) for g, t in model.thresholds.items()), F.lit(0.0))
     known = lambda c: c["g"].isin(*model.thresholds)
-    chosen = F.filter(candidates(text, base), lambda c: known(c) & (score(c) >= limit(c) - 1e-9) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    proposed = F.when(text.rlike(ANY), candidates(text, base))
+    chosen = F.filter(proposed, lambda c: known(c) & (score(c) >= limit(c) - 1e-9) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     kind = F.array(*(F.lit(KINDS.index(k)) for k, _, _ in GENERATORS))
     found = F.array_sort(F.transform(chosen, lambda c: F.struct((c["s"] - c["e"]).alias("n"), c["s"].alias("s"), c["e"].alias("e"), F.get(kind, c["g"]).alias("k"))))
 
@@ -280,7 +284,7 @@ def spans(text: Column, base: Column, model: BoostedTrees) -> Column:
         clash = F.exists(kept, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(span)))
 
-    return F.array_sort(F.aggregate(found, base, take))
+    return F.coalesce(F.array_sort(F.aggregate(found, base, take)), base)
 
 
 def find(docs: DataFrame, model: BoostedTrees, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,24 +294,27 @@ def find(docs: DataFrame, model: BoostedTrees, *, key: str = "doc_id", text: str
     return based.select("doc_id", "base", spans(F.col("text"), F.col("base"), model).alias("spans"))
 
 
-def redacted(text: Column, model: BoostedTrees) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one, under the first one's kind."""
-    body = _searchable(text)
-    base = base_spans(body)
-    ordered = F.array_sort(F.transform(spans(body, base, model), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))))
+def redact(docs: DataFrame, model: BoostedTrees, *, text: str = "text") -> DataFrame:
+    """``docs`` with every span of its text replaced by the kind in brackets.
+
+    Spans that touch become one, under the first one's kind. All columns stay; a null text stays null.
+    """
+    body = _searchable(col(text))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    found = docs.withColumn("_base", base_spans(body)).withColumn("_spans", spans(body, F.col("_base"), model))
+    ordered = F.array_sort(F.transform("_spans", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))))
 
     def step(state: Column, b: Column) -> Column:
-        fresh = b["s"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), b["s"] - state["at"]))
+        gap = F.substring(col(text), state["at"] + 1, F.greatest(F.lit(0), b["s"] - state["at"]))
         return F.struct(
-            F.when(fresh, F.concat(state["out"], gap, F.get(names, b["k"]))).otherwise(state["out"]).alias("out"),
+            F.when(b["s"] >= state["at"], F.concat(state["out"], gap, F.get(names, b["k"]))).otherwise(state["out"]).alias("out"),
             F.greatest(state["at"], b["e"]).alias("at"),
         )
 
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    joined = F.aggregate(ordered, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(text.rlike("[0-9@]|(?i)[(\\[]at"), joined).otherwise(text)
+    joined = F.aggregate(ordered, first, step, lambda s: F.concat(s["out"], F.substring(col(text), s["at"] + 1, F.length(col(text)))))
+    clean = F.when(F.size("_spans") > 0, joined).otherwise(col(text))
+    return found.select(*(clean.alias(c) if c == text else col(c) for c in docs.columns))
 
 
 def _joined(found: Column) -> Column:
