@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from wayline.llm import compression, distinct_words, langmask, line_frequency, neighbours, packing, personal_data  # noqa: E402
+from wayline.llm import compression, distinct_words, langmask, line_frequency, neighbours, packing, personal_data, setsketch  # noqa: E402
 
-for _module in (compression, neighbours, langmask, distinct_words, packing, line_frequency, personal_data):
+for _module in (compression, neighbours, langmask, distinct_words, packing, line_frequency, personal_data, setsketch):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
