@@ -2,7 +2,9 @@
 
 Texts are split into words exactly as the tokenizer's own splitting does. Documents are gathered in blocks; a
 block keeps its word sequence as slots of its own distinct words. The distinct words of all blocks form one
-table, in which each word is encoded once; its ids come back to every block by position (block, slot). A token
+table, dealt by a hash of the word into buckets (four to a shuffle partition). There each word is encoded once and
+its ids go back to every block by position (block, slot). Words and ids travel packed, one row for a block and
+bucket, which keeps the shuffles below the size of the texts. A block holds a word once, so no word is hot. A token
 decodes to its piece, so a word decodes to the pieces of its ids, looked up in the id-to-piece table of the
 vocabulary, whose size is fixed.
 
@@ -32,6 +34,8 @@ from wayline.llm.frames import pick, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text in a block; longer blocks share more of their words, and take more memory.
 BLOCK = 24_000_000
+#: No word holds it: splitting drops white space.
+SEPARATOR = "\n"
 
 #: Texts of these characters only are split by a plain pattern; all others by the tokenizer itself.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ɏ]*")
@@ -85,79 +89,130 @@ def word_ids(word: str, tok: Tokenizer, alphabet: dict[int, str]) -> list[int]:
     return [t.id for t in tok.model.tokenize(signs)]
 
 
-def _blocks(path: str, block: int, sequences: bool):
-    """Blocks of a partition: their slot sequences, or their distinct words.
+class Slots(dict):
+    """Numbers words in the order in which they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _cut(batches: Iterator[pa.RecordBatch], tok: Tokenizer, added: re.Pattern, block: int) -> Iterator[list[tuple[int | None, list[str]]]]:
+    """Blocks of (document, words); a document of several blocks' length is a block of its own."""
+    rows, size = [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            value = text.as_py() or ""
+            rows.append((key, split(value, tok, added)))
+            size += len(value)
+            if size >= block:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _name(number: int, words: list[str]) -> str:
+    """Both readings of the documents cut the same rows alike; if they ever did not, the names would not meet."""
+    return f"{TaskContext.get().partitionId()}-{number}-{len(words)}-{zlib.crc32(SEPARATOR.join(words).encode()):08x}"
+
+
+def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(buckets)
+
+
+def _press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _loose(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _planes(seq: np.ndarray) -> bytes:
+    """Slots as four runs of bytes, lowest first, which pack better than whole numbers."""
+    return _press(np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    Both readings cut the same rows in the same way; a block's name holds a checksum of its words, so blocks
-    that were cut differently never meet.
-    """
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_loose(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _sequences(path: str, block: int, buckets: int):
+    """Per block: its documents as slots, and the bucket of every slot."""
+    schema = pa.schema(
+        [("block", pa.string()), ("bucket", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, _ = load(path)
-        added = added_tokens(tok)
-        part, number = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        slots: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-        size = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
+        for number, rows in enumerate(_cut(batches, tok, added_tokens(tok), block)):
+            slots = Slots()
+            docs = [(key, np.fromiter(map(slots.__getitem__, words), np.uint32, len(words))) for key, words in rows]
             words = list(slots)
-            name = f"{part}-{number}-{zlib.crc32(chr(2).join(words).encode()):08x}"
-            if sequences:
-                for at in range(0, len(rows), 1024):
-                    some = rows[at : at + 1024]
-                    packed = zstandard.ZstdCompressor(level=3).compress(np.concatenate(some).tobytes())
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "block": [name], "n_slots": [len(words)], "doc_ids": [ids[at : at + 1024]],
-                            "lengths": [[len(r) for r in some]], "packed": [packed],
-                        },
-                        schema=pa.schema(
-                            [("block", pa.string()), ("n_slots", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())]
-                        ),
-                    )
-            else:
-                for at in range(0, len(words), 20_000):
-                    some = words[at : at + 20_000]
-                    yield pa.RecordBatch.from_pydict(
-                        {"block": [name] * len(some), "slot": pa.array(range(at, at + len(some)), pa.int32()), "word": some}
-                    )
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = text.as_py() or ""
-                words = split(value, tok, added)
-                fresh = len(slots)
-                seq = np.empty(len(words), np.uint32)
-                for i, word in enumerate(words):
-                    slot = slots.get(word)
-                    if slot is None:
-                        slot = slots[word] = fresh
-                        fresh += 1
-                    seq[i] = slot
-                ids.append(key)
-                rows.append(seq)
-                size += len(value)
-                if size >= block:
-                    yield from close()
-                    ids, slots, rows, size, number = [], {}, [], 0, number + 1
-        if ids:
-            yield from close()
+            bucket = _press(_bucket_of(words, buckets).astype("<u4").tobytes())
+            for at in range(0, len(docs), 4096):
+                some = docs[at : at + 4096]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": [_name(number, words)], "bucket": [bucket if at == 0 else None], "doc_ids": [[k for k, _ in some]],
+                        "lengths": [[len(s) for _, s in some]], "packed": [_planes(np.concatenate([s for _, s in some]))],
+                    },
+                    schema=schema,
+                )
 
     return run
 
 
-def _encode_words(path: str):
+def _words(path: str, block: int, buckets: int):
+    """Per block and bucket: the block's distinct words, in the order of their slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, _ = load(path)
+        for number, rows in enumerate(_cut(batches, tok, added_tokens(tok), block)):
+            slots: dict[str, None] = {}
+            for _, words in rows:
+                slots.update(dict.fromkeys(words))
+            words = list(slots)
+            of = _bucket_of(words, buckets)
+            order = np.argsort(of, kind="stable")
+            held, start = np.unique(of[order], return_index=True)
+            name, ends = _name(number, words), [*start[1:].tolist(), len(words)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(held.astype(np.int32)), "block": [name] * len(held),
+                    "words": pa.array([_press(SEPARATOR.join([words[i] for i in order[s:e]]).encode()) for s, e in zip(start.tolist(), ends)], pa.binary()),
+                }
+            )
+
+    return run
+
+
+def _encode_bucket(path: str):
+    """A bucket of the word table: each of its distinct words is encoded once, and every block gets its ids back."""
+
+    def run(table: pa.Table) -> pa.Table:
         tok, alphabet = load(path)
-        for batch in batches:
-            packed = [np.array(word_ids(w, tok, alphabet), "<u2").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"word": batch.column(0), "ids": pa.array(packed, pa.binary())})
+        known: dict[str, bytes] = {}
+        out = []
+        for packed in table.column("words"):
+            ids = []
+            for word in _loose(packed.as_py()).decode().split(SEPARATOR):
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = np.array(word_ids(word, tok, alphabet), "<u2").tobytes()
+                ids.append(found)
+            sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+            out.append(_press(sizes.tobytes() + b"".join(ids)))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": [_count(x) for x in table.column("words")], "ids": pa.array(out, pa.binary())})
 
     return run
 
 
+def _count(packed: pa.Scalar) -> int:
+    return _loose(packed.as_py()).count(SEPARATOR.encode()) + 1
+
+
 def take_runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The runs ``values[start[i] : start[i] + length[i]]`` for i in ``order``, joined."""
     n = length[order]
@@ -170,22 +225,33 @@ def take_runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, order:
 
 def _assemble(path: str, schema: pa.Schema, wanted):
     def run(sequences: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.select(["slot", "ids"]).sort_by("slot")
-        packed = words.column("ids").to_pylist()
-        length = np.array([len(p) // 2 for p in packed], np.int64)
-        start = np.cumsum(length) - length
-        values = np.frombuffer(b"".join(packed), "<u2").astype("<u4")
+        words = words.sort_by("bucket")
+        sizes, values = [], []
+        for n, packed in zip(words.column("n").to_pylist(), words.column("ids"), strict=True):
+            data = _loose(packed.as_py())
+            sizes.append(np.frombuffer(data, "<u4", n) // 2)
+            values.append(np.frombuffer(data, "<u2", offset=4 * n))
+        bucket = next((b for b in sequences.column("bucket").to_pylist() if b is not None), None)
+        if bucket is None:
+            raise RuntimeError("a block was read in two ways")
+        of = np.frombuffer(_loose(bucket), "<u4")
+        if sum(map(len, sizes)) != len(of):
+            raise RuntimeError(f"a block has {sum(map(len, sizes))} of {len(of)} words")
+        # the table gives a block's words by bucket, then slot
+        order = np.argsort(of, kind="stable")
+        length, start = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+        if len(of):
+            length[order] = np.concatenate(sizes)
+            ends = np.cumsum(length[order])
+            start[order] = ends - length[order]
+        flat = np.concatenate([np.array([], "<u2"), *values]).astype("<u4")
         pieces, done = PieceTable(path), []
-        for batch in sequences.to_batches(max_chunksize=1):
+        for batch in sequences.select(["doc_ids", "lengths", "packed"]).to_batches(max_chunksize=1):
             for row in batch.to_pylist():
-                if row["n_slots"] != len(packed):
-                    raise RuntimeError(f"block {row['block']} has {len(packed)} of {row['n_slots']} words")
-                seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["packed"]), np.uint32)
-                at, out = 0, []
+                seq, at, out = _from_planes(row["packed"]), 0, []
                 for doc, n in zip(row["doc_ids"], row["lengths"], strict=True):
-                    ids = take_runs(values, start, length, seq[at : at + n])
+                    out.append((doc, *wanted(take_runs(flat, start, length, seq[at : at + n]), pieces)))
                     at += n
-                    out.append((doc, *wanted(ids, pieces)))
                 done.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema))
         return pa.Table.from_batches(done, schema=schema)
 
@@ -213,7 +279,7 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokens(
-    docs: DataFrame, wanted, columns: str, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, block: int = BLOCK,
+    docs: DataFrame, wanted, columns: str, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, block: int = BLOCK, buckets: int | None = None,
 ) -> DataFrame:
     """(doc_id, what ``wanted`` makes of a document's ids and the piece table) of every row.
 
@@ -224,12 +290,13 @@ def tokens(
 
     path = vocabulary or tokenizer_path(VOCABULARY)
     rows = pick(docs, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    spark: SparkSession = docs.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sequences = rows.mapInArrow(
-        _blocks(path, block, True), "block string, n_slots long, doc_ids array<long>, lengths array<long>, packed binary"
+        _sequences(path, block, buckets), "block string, bucket binary, doc_ids array<long>, lengths array<long>, packed binary"
     )
-    words = rows.mapInArrow(_blocks(path, block, False), "block string, slot int, word string")
-    table = words.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids binary")
-    placed = words.join(table, "word").select("block", "slot", "ids")
+    words = rows.mapInArrow(_words(path, block, buckets), "bucket int, block string, words binary")
+    placed = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket int, n long, ids binary")
     out = "doc_id long, " + columns
     run = _assemble(path, to_arrow_schema(StructType.fromDDL(out)), wanted)
     return sequences.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(run, out)
