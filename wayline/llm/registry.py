@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayline.llm import (
+    compression,
+    distinct_words,
+    langmask,
+    line_frequency,
+    neighbours,
+    packing,
+    personal_data,
+    setsketch,
+    suffix_index,
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from wayline.llm import compression, distinct_words, langmask, line_frequency, neighbours, packing, personal_data, setsketch  # noqa: E402
-
-for _module in (compression, neighbours, langmask, distinct_words, packing, line_frequency, personal_data, setsketch):
+for _module in (
+    suffix_index, line_frequency, compression, packing, setsketch, neighbours, langmask, distinct_words, personal_data,
+):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
