@@ -10,6 +10,7 @@ from wayline.llm import (
     compression,
     distinct_words,
     langmask,
+    licenses,
     line_frequency,
     neighbours,
     packing,
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 for _module in (
-    suffix_index, line_frequency, compression, packing, setsketch, neighbours, langmask, distinct_words, personal_data,
+    suffix_index, line_frequency, compression, packing, licenses, setsketch, neighbours, langmask, distinct_words, personal_data,
 ):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
