@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +212,21 @@ def identify(docs: DataFrame, masks: LanguageMasks, *, key: str = "doc_id", text
     return map_columns(rows, label, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, masks: LanguageMasks, *, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with a score of at least ``least``; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(masks)  # at most SLOTS * 8 bytes
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names, score = shared.value.predict(batch.column(place).to_pylist())
+                fine = np.array([n != UNKNOWN for n in names]) & (score >= least)
+                yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows that are never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
