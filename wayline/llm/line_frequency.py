@@ -24,6 +24,7 @@ from wayline.session import settle
 RATIO = 0.1
 MIN_PAGES = 20
 SALTS = 64
+BLANKS = " \t\r\f\x0b"
 
 
 def lines_of(text: Column) -> Column:
@@ -32,8 +33,7 @@ def lines_of(text: Column) -> Column:
 
 def _hashes(text: Column) -> Column:
     """One hash for each line; null for blank lines."""
-    bare = F.transform(lines_of(text), lambda x: F.trim(F.translate(x, "\t\r\f\x0b", "    ")))
-    return F.transform(bare, lambda x: F.when(x != "", F.xxhash64(x)))
+    return F.transform(lines_of(text), lambda x: F.when(F.trim(x, F.lit(BLANKS)) != "", F.xxhash64(F.trim(x, F.lit(BLANKS)))))
 
 
 def boilerplate(docs: DataFrame, *, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -62,24 +62,25 @@ def drop_lines(
     )
     pairs = F.arrays_zip(lines_of(col(text)).alias("line"), _hashes(col(text)).alias("hash"))
     kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~F.array_contains(F.col("_bad"), p["hash"]))
-    clean = F.when(F.col("_bad").isNull(), col(text)).otherwise(F.array_join(F.transform(kept, lambda p: p["line"]), "\n"))
+    met = met.withColumn("_kept", F.when(F.col("_bad").isNotNull(), F.transform(kept, lambda p: p["line"])))
+    clean = F.when(F.col("_kept").isNull(), col(text)).otherwise(F.array_join("_kept", "\n"))
     out = [clean.alias(c) if c == text else col(c) for c in docs.columns]
     if counts:
         total = F.when(col(text).isNull(), 0).otherwise(F.size(lines_of(col(text))))
-        left = F.when(F.col("_bad").isNull() | col(text).isNull(), total).otherwise(F.size(kept))
+        left = F.when(F.col("_kept").isNull(), total).otherwise(F.size("_kept"))
         out += [total.cast("long").alias(counts[0]), (total - left).cast("long").alias(counts[1])]
     return met.select(*out)
 
 
 #: Parts of a page that show no text, and tags that end a line.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)"
 BLOCK = r"(?i)</?(p|br|li|ul|ol|nav|div|article|section|h[1-6]|footer|header|title|head|body|html|table|tr)\b[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def page_text(html: Column) -> Column:
     """Visible text of a page, one block a line, without blank lines."""
-    text = F.regexp_replace(F.regexp_replace(F.translate(html, "\r\n\t", "   "), HIDDEN, "\n"), BLOCK, "\n")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "[\r\n\t]", " "), HIDDEN, "\n"), BLOCK, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
@@ -94,12 +95,12 @@ def page_host(url: Column) -> Column:
 def line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     texts = pages.select("page_id", page_host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
-    return drop_lines(texts, host="host", counts=("n_lines", "n_dropped"))
+    return drop_lines(settle(texts, "page-texts"), host="host", counts=("n_lines", "n_dropped"))
 
 
 def documents_sql(source: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     """SELECT of (page_id, host, text, n_lines, n_dropped) from a relation with page_id, host and text."""
-    bare = "trim(translate(l, chr(9) || chr(13) || chr(12) || chr(11), '    '))"
+    bare = "trim(l, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
     return f"""
         SELECT d.page_id, d.host,
                CASE WHEN b.bad IS NULL THEN d.text
@@ -120,7 +121,7 @@ def documents_sql(source: str, ratio: float = RATIO, min_pages: int = MIN_PAGES)
 
 
 def _page_sql() -> str:
-    text = f"regexp_replace(regexp_replace(translate(html, chr(13) || chr(10) || chr(9), '   '), '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g')"
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, '[\\r\\n\\t]', ' ', 'g'), '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     for name, sign in ENTITIES:
         text = f"replace({text}, '{name}', '{sign}')"
