@@ -30,15 +30,18 @@ def positioned(t):
     )
 
 
-@query("trip_statistics", f"""
-WITH {SQL_FIXES},
+SQL_SEGMENTS = f"""{SQL_FIXES},
 ok AS (SELECT *, last_value(speed_kmh IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY ts_us, pos) AS eff
   FROM fix WHERE valid AND lat IS NOT NULL),
 step AS (SELECT *, lag(eff) OVER w AS peff, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon,
   lag(ts_us) OVER w AS pts, lag(altitude_m) OVER w AS palt
   FROM ok WINDOW w AS (PARTITION BY camera_id ORDER BY ts_us, pos)),
 seg AS (SELECT *, (ts_us - pts) / 1000000.0::DOUBLE AS el,
-  CASE WHEN pts IS NOT NULL THEN coalesce((eff + peff) / 2, eff, peff) END AS pace FROM step)
+  CASE WHEN pts IS NOT NULL THEN coalesce((eff + peff) / 2, eff, peff) END AS pace FROM step)"""
+
+
+@query("trip_statistics", f"""
+WITH {SQL_SEGMENTS}
 SELECT camera_id, count(*) AS fixes,
   round(sum(({SQL_HAVERSINE.format('plat', 'plon', 'lat', 'lon')})) / 1000, 6) AS distance_km,
   round(avg(speed_kmh), 6) AS average_speed_kmh, round(max(speed_kmh), 6) AS max_speed_kmh,

@@ -30,9 +30,6 @@ def _trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-ALL = 2**30
-
-
 def lines_of(text: Column) -> Column:
     """Array of lines; a final line end adds no empty line."""
     size = F.length(text)
@@ -43,7 +40,7 @@ def lines_of(text: Column) -> Column:
 
 def _rest(parts: Column) -> Column:
     """All parts but the first."""
-    return F.slice(parts, F.lit(2), F.lit(ALL))
+    return F.slice(parts, F.lit(2), F.size(parts))
 
 
 def text_lines(files: DataFrame, text: str = "text") -> DataFrame:
