@@ -7,10 +7,10 @@ registers of a candidate pair are compared (larger, smaller, equal) and its simi
 likelihood, jointly with the known set sizes; what may reach the threshold is verified on the full sets.
 
 Documents with equal sets are one node from the start. In a bucket of a band every member meets its leader, the
-smallest id. Buckets whose members are not all connected after that elect more leaders, four times as many in
-each round, up to all members; only pairs across components are looked at. So every pair of a bucket is linked,
-verified or already connected, and large groups of copies never give all pairs. With ``BANDS`` bands of
-``ROWS`` registers a pair at the threshold is missed with a chance of 2.3e-6.
+smallest id, so a bucket of any size gives no more pairs than members. Members that stay unconnected are compared
+by what they hold beside their nearest leader (``_beside_leader``), which finds the further links of a group
+without giving its pairs. With ``BANDS`` bands of ``ROWS`` registers a pair at the threshold shares no bucket with
+a chance of 2.3e-6.
 
 Results for odd input: null and empty texts have an empty set, are linked with nothing and kept; fewer than five
 words form one shingle; repeated rows are copies, each gets a row, and the one with the smallest id is kept (rows that
@@ -40,7 +40,6 @@ SCALE = 20.0
 LIMIT = (1 << 16) - 2
 #: Standard errors that an estimate may lie below the threshold before a pair is left out.
 SLACK = 5.0
-GROWTH = 4
 
 _RNG = np.random.default_rng(20_240_229)
 _A = (_RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))
@@ -150,19 +149,70 @@ def _verify(columns: list) -> tuple[list, ...]:
     return columns[0], columns[1], linked
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, j): the likely similarity of every pair."""
     side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
-    # sizes alone rule out most unequal pairs
-    near = SIMILARITY[1] * F.least("n_a", "n_b") >= SIMILARITY[0] * F.greatest("n_a", "n_b")
-    met = pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    judged = map_columns(met, _estimate, "a long, b long, j double")
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    return map_columns(met, _estimate, "a long, b long, j double")
+
+
+def _verified(estimated: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, out of those that may by their estimate."""
     goal = SIMILARITY[0] / SIMILARITY[1]
-    likely = judged.where(F.col("j") >= goal - SLACK * (goal * (1 - goal) / REGISTERS) ** 0.5).select("a", "b")
+    likely = estimated.where(F.col("j") >= goal - SLACK * (goal * (1 - goal) / REGISTERS) ** 0.5).select("a", "b")
+    full = _with_texts(likely, texts).select("a", "b", "one", "two")
+    return map_columns(full, _verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("two"))
     leader = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("one"))
-    full = likely.join(own, "b").join(leader, "a").select("a", "b", "one", "two")
-    return map_columns(full, _verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return pairs.join(own, "b").join(leader, "a")
+
+
+def _differences(columns: list):
+    """Per (leader, document): set size, shingles shared with the leader, and the first of the others.
+
+    A partner must share so many of the document's shingles that it shares one of these first ones, if it shares any
+    beside the leader.
+    """
+    opener, known = zstandard.ZstdDecompressor(), {}
+    out = []
+    for a, b, one, two, component, first in zip(*(c.to_pylist() for c in columns), strict=True):
+        if a not in known:
+            known = {a: shingles(opener.decompress(one))}
+        own = shingles(opener.decompress(two))
+        beside = np.setdiff1d(own, known[a], assume_unique=True)
+        shared = len(own) - len(beside)
+        needed = max(1, -(-SIMILARITY[0] * len(own) // SIMILARITY[1]) - shared)
+        out.append((a, b, component, first, len(own), shared, beside[: max(0, len(beside) - needed + 1)].view(np.int64)))
+    return tuple(map(list, zip(*out)))
+
+
+def _beside_leader(families: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of one family, in different components, that may reach the threshold.
+
+    Inside the leader's set two documents share at most as many shingles as either shares with the leader. Where
+    the threshold needs more, they also share one beside the leader, and such shingles are matched; where it does
+    not, both nearly lie inside the leader's set and the pair is compared. Copies of one text, each with its own edits,
+    share nothing beside it, so a large group of them gives no pairs. A pair is looked at in the family of the
+    leader nearest to one of the two.
+    """
+    met = _with_texts(families, texts).select("a", "b", "one", "two", "component", "nearest")
+    schema = "a long, b long, component long, nearest boolean, n long, shared long, beside array<long>"
+    parts = settle(map_columns(met, _differences, schema), "differences")
+    apart = (F.col("u.a") == F.col("m.a")) & F.col("u.nearest") & (F.col("u.component") != F.col("m.component"))
+    rare = parts.select("a", "b", "component", "nearest", F.explode("beside").alias("shingle"))
+    shared = rare.groupBy("a", "shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max("nearest").alias("nearest")
+    ).where("low <> high and nearest").select("a", "shingle")
+    rare = settle(rare.join(settle(shared, "beside"), ["a", "shingle"]), "beside")
+    by_shingle = rare.alias("u").join(rare.alias("m"), apart & (F.col("u.shingle") == F.col("m.shingle")))
+    sizes = parts.select("a", "b", "component", "nearest", "n", "shared")
+    needed = F.ceil(SIMILARITY[0] * (F.col("u.n") + F.col("m.n")) / sum(SIMILARITY))
+    by_size = sizes.alias("u").join(sizes.alias("m"), apart & (needed <= F.least("u.shared", "m.shared")))
+    pair = [F.least("u.b", "m.b").alias("a"), F.greatest("u.b", "m.b").alias("b")]
+    return by_shingle.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,37 +224,32 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sketches = present.select("doc_id", "n_shingles", "registers").join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
 
     bands = map_columns(sketches.select("doc_id", "registers"), _band_rows, "band long, doc_id long")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1").select("band", "leader")
     buckets = settle(buckets, "buckets")
-    members = settle(bands.join(buckets, "band").select("band", "n", "leader", "doc_id"), "members")
+    members = settle(bands.join(buckets, "band").select("leader", "doc_id").distinct(), "members")
     texts = map_columns(
         rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), _press, "doc_id long, packed binary"
     ).dropDuplicates(["doc_id"])
     texts = settle(texts, "texts")
     involved = settle(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
 
-    pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = settle(pairs, "pairs")
-    links = settle(_verified(tried, involved, texts), "links")
-    leaders = GROWTH
-    open_members = members.where("n > 2")
-    while True:
-        found = settle(components(links), "components")
-        placed = open_members.join(found, F.col("doc_id") == F.col("node"), "left").select(
-            "band", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_members = settle(placed.join(split, "band", "left_semi"), "open")
-        if open_members.isEmpty():
-            break
-        elected = open_members.where(F.pmod(F.xxhash64("band", "doc_id"), F.lit(1 << 30)) < F.lit(leaders << 30) / F.col("n"))
-        met = open_members.alias("m").join(elected.alias("e"), (F.col("m.band") == F.col("e.band")) & (F.col("m.component") != F.col("e.component")))
-        fresh = met.select(F.least("m.doc_id", "e.doc_id").alias("a"), F.greatest("m.doc_id", "e.doc_id").alias("b")).distinct()
-        fresh = settle(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = settle(links.unionByName(_verified(fresh, involved, texts)), "links")
-        tried = tried.unionByName(fresh)
-        open_members = open_members.where(F.col("n") > leaders).select("band", "n", "doc_id")
-        leaders *= GROWTH
+    tried = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    tried = settle(_estimated(tried, involved), "pairs")
+    links = settle(_verified(tried, texts), "links")
+    found = settle(components(links), "components")
+    # families: the documents that met one leader; those of a single component need nothing more
+    nearest = tried.groupBy("b").agg(F.min_by("a", F.struct(-F.col("j"), "a")).alias("near"))
+    placed = tried.select("a", "b").join(found, F.col("b") == F.col("node"), "left").join(nearest, "b").select(
+        "a", "b", F.coalesce("component", "b").alias("component"), (F.col("a") == F.col("near")).alias("nearest")
+    )
+    placed = settle(placed, "families")
+    split = placed.groupBy("a").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max("nearest").alias("nearest")
+    ).where("low <> high and nearest").select("a")
+    beside = _beside_leader(settle(placed.join(split, "a", "left_semi"), "open"), texts)
+    fresh = settle(beside.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = settle(_verified(_estimated(fresh, involved), texts), "links")
+    found = settle(components(links.unionByName(more)), "components")
     classes = first.join(found, F.col("first") == F.col("node"), "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
     classes = settle(classes, "classes")
     out = sketched.join(classes, "set_key", "left")
