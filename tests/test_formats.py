@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.sinks import tables, tracks
+from wayline.operators import trips
 from wayline.sources import catalogue, logs, registry, telemetry_files, texts
 
 
@@ -140,6 +141,43 @@ def test_adapter_reads_a_folder_tree(spark, tmp_path):
     got = registry.adapter("dashcam")(spark, str(tmp_path))
     assert got.recordings.first().assets.keys() == {"FRONT", "GPS", "GSENSOR"}
     assert got.fixes.count() == 1 and got.samples.first().z == 3 and got.snapshots.first().record_time_s == 60
+    assert trips.roll_up(trips.detect(got.recordings)).count() == 1
     with pytest.raises(ValueError):
         registry.adapter("nothing")
     assert {"dashcam", "folder"} <= set(registry.names())
+
+
+def test_adapter_without_telemetry_feeds_trips(spark, tmp_path):
+    cam = tmp_path / "cam1"
+    cam.mkdir()
+    for name in ("20260715_133255_NF.mp4", "20260715_133355_NF.mp4", "20260715_180000_NF.mp4"):
+        (cam / name).write_bytes(b"1")
+    (cam / "20260715_133255_N.duration.txt").write_text("59.6\n")
+    got = registry.adapter("dashcam")(spark, str(tmp_path))
+    assert got.fixes.count() == 0 and got.samples.count() == 0
+    found = trips.detect(got.recordings)
+    assert [r.trip_no for r in found.orderBy("start_s").collect()] == [1, 1, 2]
+    assert [r.duration_s for r in found.orderBy("start_s").collect()] == [60, None, None]
+    assert trips.roll_up(found).count() == 2
+    assert trips.detect(registry.adapter("folder")(spark, str(tmp_path)).recordings).count() == 3
+
+
+def test_long_gps_log_numbers_what_it_keeps(spark):
+    lines = []
+    for i in range(4000):
+        lines.append(f"[{i}]$GPGGA,120000.00,,,,,1,08,1.0,{i % 90},M,,M,,*5B")
+        course = "x" if i % 10 == 3 else "45.0"
+        lines.append(f"[{i}]$GPRMC,120001.00,A,4807.038,N,01131.000,E,10.00,{course},010124,,,A*6D")
+    rows = spark.createDataFrame([("a", "\r\n".join(lines)), ("b", "\n".join(lines[:4]))], "recording_id string, text string")
+    got = telemetry_files.gps_fixes(rows).orderBy("recording_id", "pos").collect()
+    kept = [i for i in range(4000) if i % 10 != 3]
+    assert [(r.pos, r.altitude_m, r.ts_us) for r in got if r.recording_id == "a"] == [(n, float(i % 90), i * 1000) for n, i in enumerate(kept)]
+    assert [r.pos for r in got if r.recording_id == "b"] == [0, 1]
+
+
+def test_feed_objects_over_many_chunks(spark):
+    chunks = ['{"GPS": {"LATI', 'TUDE": 1.5,', " " * 9000, ' "LONGITUDE": 2.5}', '}--{"3G', '": {"FrontRear": 1,"LeftRight":2,"UpperLower":', "3", "}} {\"GPS\": {"]
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate(chunks)], "camera_id long, seq long, chunk string")
+    whole = telemetry_files.stitched(rows, ["camera_id"], ["seq"], F.floor(F.col("seq") / 3))
+    got = [(r.seq, r.sensor, r.lat, r.upper_lower) for r in telemetry_files.live_readings(whole).orderBy("seq").collect()]
+    assert got == [(3, "gps", 1.5, None), (7, "3g", None, 3.0)]
