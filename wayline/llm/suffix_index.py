@@ -10,7 +10,7 @@ covers) are one entry with a count.
 next batch arrives, so n batches leave at most log2(n) + 1 levels and an entry is rewritten log2(n) times. A scan
 notes the anchors under which entries differ; ``covered`` settles those by comparing every single string of the
 entries: in small groups side by side, in large ones through counts of hashed strings, so that no group is
-gathered. Strings are compared by 64-bit hashes.
+gathered; there the bytes before and after the anchor are matched first, which leaves few strings to count. Strings are compared by 64-bit hashes.
 
 Results for odd input: null texts are empty; texts shorter than ``SPAN`` lose nothing; repeated rows are copies and
 lose everything from ``SPAN`` bytes on; strings that overlap themselves count; extra columns are ignored; an empty table gives
@@ -201,7 +201,15 @@ class SuffixIndex:
         large = cut.select("packed", F.filter("wanted", lambda w: w["entries"] > GROUP).alias("wanted")).where(F.size("wanted") > 0)
         parts = small.mapInArrow(_slices, "seed long, whole long, place long, text binary")
         runs = parts.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare, "seed long, whole long, runs array<struct<first:int,last:int>>")
-        strings = large.mapInArrow(_strings, "string long, seed long, whole long, at int")
+        crowd = settle(large.mapInArrow(_slices, "seed long, whole long, place long, text binary"), "crowds")
+        # how far an entry agrees with any other, on either side of the anchor, bounds the strings they can share
+        sides = crowd.mapInArrow(_sides, "seed long, whole long, before boolean, steps int, part long")
+        shared = sides.groupBy("part").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("part")
+        steps = lambda side: F.coalesce(F.max(F.when(side, F.col("steps"))), F.lit(0))
+        reach = sides.join(settle(shared, "shared-sides"), "part").groupBy("seed", "whole").agg(
+            steps(F.col("before")).alias("left"), steps(~F.col("before")).alias("right")
+        )
+        strings = crowd.join(settle(reach, "reach"), ["seed", "whole"]).mapInArrow(_strings, "string long, seed long, whole long, at int")
         again = strings.groupBy("string").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("string")
         hits = strings.join(settle(again, "strings"), "string").groupBy("seed", "whole").agg(F.collect_set("at").alias("at"))  # at most 369
         single = F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last")))
@@ -230,12 +238,40 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of what stands before and after each entry's anchor, in steps of ``SEED`` bytes."""
+    for batch in batches:
+        seeds, wholes = batch.column("seed").to_numpy(), batch.column("whole").to_numpy()
+        _, _, left = _unplace(batch.column("place").to_numpy())
+        out: list[tuple[np.ndarray, ...]] = []
+        for seed, whole, anchor, text in zip(seeds, wholes, left.tolist(), batch.column("text")):
+            data = np.frombuffer(text.as_py(), np.uint8)
+            hashed = Hashed(data)
+            for before, most in ((True, anchor), (False, min(SPAN, len(data) - anchor))):
+                steps = np.arange(1, most // SEED + 1)
+                start = anchor - steps * SEED if before else np.full(len(steps), anchor)
+                end = np.full(len(steps), anchor) if before else anchor + steps * SEED
+                part = hashed.run(start, end) ^ (np.uint64(seed.view(np.uint64)) + steps.astype(np.uint64) * np.uint64(2) + np.uint64(before)) * np.uint64(_ODD)
+                out.append((np.full(len(steps), seed), np.full(len(steps), whole), np.full(len(steps), before), steps.astype(np.int32), _finish(part).view(np.int64)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["seed", "whole", "before", "steps", "part"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of each wanted entry, as its hash."""
-    for batch in _slices(batches):
-        for seed, whole, text in zip(batch.column("seed").to_pylist(), batch.column("whole").to_pylist(), batch.column("text")):
-            h = Hashed(np.frombuffer(text.as_py(), np.uint8)).all_runs(SPAN).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"string": h, "seed": np.full(len(h), seed), "whole": np.full(len(h), whole), "at": np.arange(len(h), dtype=np.int32)})
+    """Those strings of each entry, as hashes, that reach no further than it agrees with another entry."""
+    for batch in batches:
+        first, last, anchor = _unplace(batch.column("place").to_numpy())
+        rows = zip(
+            batch.column("seed").to_pylist(), batch.column("whole").to_pylist(), batch.column("text"), (last - first).tolist(), anchor.tolist(),
+            batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True,
+        )
+        for seed, whole, text, count, place, left, right in rows:
+            # a string from ``at`` holds place - at bytes before the anchor, and the rest after it
+            low = max(0, place - SEED * (left + 1) + 1)
+            high = min(count, place + SEED * (right + 1) - 1 - SPAN)
+            if low <= high:
+                h = Hashed(np.frombuffer(text.as_py(), np.uint8)).all_runs(SPAN)[low : high + 1].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"string": h, "seed": np.full(len(h), seed), "whole": np.full(len(h), whole), "at": np.arange(low, high + 1, dtype=np.int32)})
 
 
 _RUNS = pa.schema([("seed", pa.int64()), ("whole", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
