@@ -44,11 +44,11 @@ def _nmea(t):
 
 @query("gps_log_parsed", """
 WITH e AS (SELECT *, epoch_us(ts) // 1000 * 1000 AS us FROM events)
-SELECT event_id, 0 AS pos, make_timestamp(us) AS ts, event_id % 11 <> 0 AS valid,
+SELECT event_id, 0::BIGINT AS pos, make_timestamp(us) AS ts, event_id % 11 <> 0 AS valid,
   round(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (59 + round(event_id * 37 % 6000 / 100.0::DOUBLE, 4) / 60), 8) AS lat,
   round(-(18 + round(event_id * 91 % 6000 / 100.0::DOUBLE, 4) / 60), 8) AS lon,
   CASE WHEN event_id % 5 <> 0 THEN round(value * 1.852::DOUBLE, 6) END AS speed_kmh, NULL::DOUBLE AS course, CAST(event_id % 70 AS DOUBLE) AS altitude_m FROM e
-UNION ALL SELECT event_id, 1, make_timestamp(5000000), true, NULL, NULL, NULL, 12.5, NULL FROM e
+UNION ALL SELECT event_id, 1::BIGINT, make_timestamp(5000000), true, NULL, NULL, NULL, 12.5, NULL FROM e
 """)
 def gps_log_parsed(t):
     out = telemetry_files.gps_fixes(_nmea(t)).drop("ts_us")
