@@ -14,8 +14,7 @@ def con():
 
 
 def test_registry():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"gsensor_overlap"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

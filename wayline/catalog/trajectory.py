@@ -305,7 +305,29 @@ def gsensor_pages(t):
     )
 
 
-@query("gsensor_overlap")
+def _at(track: str, ms: str) -> str:
+    """Value of a track of ten samples a second at a time in ms, between its ends."""
+    return f"({track}[{ms} // 100 + 1] * (1 - {ms} % 100 / 100.0::DOUBLE) + coalesce({track}[{ms} // 100 + 2], 0) * ({ms} % 100 / 100.0::DOUBLE))"
+
+
+@query("gsensor_overlap", f"""
+WITH {SQL_SAMPLES},
+tr AS (SELECT recording_id, vec_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, list(z ORDER BY pos) AS zs, max(offset_ms) AS e FROM smp GROUP BY ALL),
+pr AS (SELECT a.recording_id AS before_id, b.recording_id AS after_id, [a.xs, a.ys, a.zs] AS v, [b.xs, b.ys, b.zs] AS h, a.e AS ae, b.e AS be
+  FROM tr a JOIN tr b ON b.vec_id = a.vec_id + 1),
+ax AS (SELECT before_id, after_id, ae, axis, v[axis] AS v, h[axis] AS h,
+    CAST(floor((least(12, ae / 1000.0::DOUBLE) - 3::DOUBLE) / 0.02::DOUBLE) AS INTEGER) AS last
+  FROM pr, range(1, 4) r(axis) WHERE be >= 3000 AND least(12000, ae) > 3000),
+hd AS (SELECT before_id, after_id, axis, j, {_at('h', '(20 * j)')} AS hv FROM ax, range(151) g(j)),
+hs AS (SELECT before_id, after_id, axis, avg(hv) AS hm, stddev_pop(hv) AS hsd FROM hd GROUP BY ALL),
+hn AS (SELECT before_id, after_id, axis, j, CASE WHEN hsd < 1e-9 THEN 0 ELSE (hv - hm) / hsd END AS hv FROM hd JOIN hs USING (before_id, after_id, axis)),
+tl AS (SELECT before_id, after_id, axis, k, j, {_at('v', '(ae - 3000 - 20 * k + 20 * j)')} AS tv FROM ax, range(151) g(j), range(451) b(k) WHERE k <= last),
+one AS (SELECT before_id, after_id, axis, k, CASE WHEN stddev_pop(tv) < 1e-9 THEN 0 ELSE sum(tv * hv) / stddev_pop(tv) END AS s
+  FROM tl JOIN hn USING (before_id, after_id, axis, j) GROUP BY ALL),
+sc AS (SELECT before_id, after_id, k, sum(s) / 453 AS s FROM one GROUP BY ALL),
+best AS (SELECT before_id, after_id, arg_min(k, (-round(s, 9), k)) AS k, max(s) AS s FROM sc GROUP BY ALL)
+SELECT before_id, after_id, CASE WHEN s > 0.75 THEN 3::DOUBLE + k * 0.02::DOUBLE END AS overlap_s FROM pr LEFT JOIN best USING (before_id, after_id)
+""")
 def gsensor_overlap(t):
     ids = samples(t).select("vec_id", "recording_id").distinct()
     follows = ids.select((F.col("vec_id") - 1).alias("vec_id"), F.col("recording_id").alias("after_id"))
