@@ -312,9 +312,12 @@ def _at(track: str, ms: str) -> str:
 
 @query("gsensor_overlap", f"""
 WITH {SQL_SAMPLES},
-tr AS (SELECT recording_id, vec_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, list(z ORDER BY pos) AS zs, max(offset_ms) AS e FROM smp GROUP BY ALL),
+cut AS (SELECT 'S' || vec_id AS recording_id, pos - (20 + vec_id % 14) AS pos, offset_ms - 100 * (20 + vec_id % 14) AS offset_ms, x, y, z, vec_id
+  FROM smp WHERE pos >= 20 + vec_id % 14),
+tr AS (SELECT recording_id, vec_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, list(z ORDER BY pos) AS zs, max(offset_ms) AS e
+  FROM (SELECT recording_id, pos, offset_ms, x, y, z, vec_id FROM smp UNION ALL SELECT * FROM cut) GROUP BY ALL),
 pr AS (SELECT a.recording_id AS before_id, b.recording_id AS after_id, [a.xs, a.ys, a.zs] AS v, [b.xs, b.ys, b.zs] AS h, a.e AS ae, b.e AS be
-  FROM tr a JOIN tr b ON b.vec_id = a.vec_id + 1),
+  FROM tr a JOIN tr b ON a.recording_id[1] = 'V' AND (b.recording_id[1] = 'V' AND b.vec_id = a.vec_id + 1 OR b.recording_id[1] = 'S' AND b.vec_id = a.vec_id)),
 ax AS (SELECT before_id, after_id, ae, axis, v[axis] AS v, h[axis] AS h,
     CAST(floor((least(12, ae / 1000.0::DOUBLE) - 3::DOUBLE) / 0.02::DOUBLE) AS INTEGER) AS last
   FROM pr, range(1, 4) r(axis) WHERE be >= 3000 AND least(12000, ae) > 3000),
@@ -329,7 +332,15 @@ best AS (SELECT before_id, after_id, arg_min(k, (-round(s, 9), k)) AS k, max(s)
 SELECT before_id, after_id, CASE WHEN s > 0.75 THEN 3::DOUBLE + k * 0.02::DOUBLE END AS overlap_s FROM pr LEFT JOIN best USING (before_id, after_id)
 """)
 def gsensor_overlap(t):
-    ids = samples(t).select("vec_id", "recording_id").distinct()
+    """Each track with the next one, which is unrelated, and with a copy of its own end, which overlaps."""
+    own = samples(t)
+    skip = 20 + F.col("vec_id") % 14
+    cut = own.filter(F.col("pos") >= skip).withColumns(
+        {"recording_id": F.concat(F.lit("S"), F.col("vec_id")), "pos": F.col("pos") - skip, "offset_ms": F.col("offset_ms") - 100 * skip}
+    )
+    ids = own.select("vec_id", "recording_id").distinct()
     follows = ids.select((F.col("vec_id") - 1).alias("vec_id"), F.col("recording_id").alias("after_id"))
     pairs = ids.withColumnRenamed("recording_id", "before_id").join(follows, "vec_id").drop("vec_id")
-    return gsensor.overlaps(pairs, samples(t))
+    ends = cut.select("vec_id", F.col("recording_id").alias("after_id")).distinct()
+    pairs = pairs.unionByName(ids.withColumnRenamed("recording_id", "before_id").join(ends, "vec_id").drop("vec_id"))
+    return gsensor.overlaps(pairs, own.unionByName(cut.select(*own.columns)))
