@@ -221,17 +221,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sketched = settle(map_columns(rows, _sketch, "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
     present = sketched.where("set_key is not null and doc_id is not null")
     first = settle(present.groupBy("set_key").agg(F.min("doc_id").alias("first")), "classes")
-    sketches = present.select("doc_id", "n_shingles", "registers").join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    sketches = present.select("doc_id", "n_shingles", "registers").join(
+        first.select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi"  # one plan at every size
+    )
 
     bands = map_columns(sketches.select("doc_id", "registers"), _band_rows, "band long, doc_id long")
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1").select("band", "leader")
     buckets = settle(buckets, "buckets")
-    members = settle(bands.join(buckets, "band").select("leader", "doc_id").distinct(), "members")
-    texts = map_columns(
-        rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), _press, "doc_id long, packed binary"
-    ).dropDuplicates(["doc_id"])
-    texts = settle(texts, "texts")
-    involved = settle(sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
+    members = settle(bands.join(buckets.hint("merge"), "band").select("leader", "doc_id").distinct(), "members")
+    known = members.select("doc_id").distinct().hint("merge")
+    texts = map_columns(rows, _press, "doc_id long, packed binary").join(known, "doc_id", "left_semi")
+    texts = settle(texts.dropDuplicates(["doc_id"]), "texts")
+    involved = settle(sketches.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
 
     tried = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     tried = settle(_estimated(tried, involved), "pairs")
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = settle(components(links.unionByName(more)), "components")
     classes = first.join(found, F.col("first") == F.col("node"), "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
     classes = settle(classes, "classes")
-    out = sketched.join(classes, "set_key", "left")
+    out = sketched.join(classes.hint("merge"), "set_key", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
