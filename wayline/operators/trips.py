@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clock
 from ..functions.ids import Interval
@@ -127,14 +128,12 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
         "parking-runs",
     )
     in_run = marked.filter(parking)
-    totals = in_run.groupBy("camera_id", "_run").agg(
-        F.sum("_added").alias("_run_total"), F.count(F.lit(1)).alias("_rows")
-    )
-    over = totals.filter(F.col("_run_total") > cap_s).select("camera_id", "_run", "_rows")
+    totals = in_run.groupBy("camera_id", "_run").agg(F.sum("_added").alias("_run_total"))
+    over = totals.filter(F.col("_run_total") > cap_s).select("camera_id", "_run")
     in_over = in_run.join(over, ["camera_id", "_run"], "left_semi").select(
         "camera_id", "_run", "start_s", "recording_key", "_added"
     )
-    walked = settle(_walk_runs(in_over, over, float(cap_s)), "parking-walk")
+    walked = settle(_walk_runs(in_over, float(cap_s)), "parking-walk")
     # total still running when a run ends: the walk's last value, else the plain sum
     last = walked.groupBy("camera_id", "_run").agg(
         F.max_by("_held", F.struct("start_s", "recording_key")).alias("_last_held")
@@ -177,44 +176,13 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
     )
 
 
-SHORT_RUN = 256
-WALKED = (
-    "camera_id BIGINT, _run BIGINT, start_s BIGINT, recording_key BIGINT, _cut BOOLEAN, _asked BIGINT, _held BIGINT"
-)
-
-
-def _walk_runs(rows: DataFrame, over: DataFrame, cap_s: float) -> DataFrame:
-    """Sequential cap verdicts. Short runs are folded as arrays, long ones are streamed."""
-    short = over.filter(F.col("_rows") <= SHORT_RUN)
-    long = over.filter(F.col("_rows") > SHORT_RUN)
+def _walk_runs(rows: DataFrame, cap_s: float) -> DataFrame:
+    """Sequential cap verdicts, streamed: a run of any length is held one batch at a time."""
     run = ["camera_id", "_run"]
-    steps = rows.join(short, run, "left_semi").groupBy(*run).agg(
-        F.array_sort(F.collect_list(F.struct("start_s", "recording_key", "_added"))).alias("_steps")
-    )
-
-    def step(done: Column, x: Column) -> Column:
-        before = F.element_at(done, -1)["_held"]
-        want = before + x["_added"]
-        cut = want > cap_s
-        held = F.when(cut, x["_added"]).otherwise(want)
-        return F.concat(done, F.array(_verdict(x, cut, want, held)))
-
-    first = F.element_at("_steps", 1)
-    seed = F.array(_verdict(first, F.lit(False), first["_added"], first["_added"]))
-    folded = F.aggregate(F.slice("_steps", F.lit(2), F.lit(SHORT_RUN)), seed, step)
-    quick = steps.select(*run, F.explode(folded).alias("_v")).select(*run, "_v.*")
-    slow = (
-        rows.join(long, run, "left_semi").repartition(*run).sortWithinPartitions(*run, "start_s", "recording_key")
-        .groupBy(*run).applyInPandas(_walker(cap_s), WALKED)
-    )
-    return quick.unionByName(slow)
-
-
-def _verdict(x: Column, cut: Column, asked: Column, held: Column) -> Column:
-    return F.struct(
-        x["start_s"].alias("start_s"), x["recording_key"].alias("recording_key"), cut.alias("_cut"),
-        asked.alias("_asked"), held.alias("_held"),
-    )
+    kept = [f for f in rows.schema.fields if f.name != "_added"]
+    schema = T.StructType(kept).add("_cut", T.BooleanType()).add("_asked", T.LongType()).add("_held", T.LongType())
+    ordered = rows.repartition(*run).sortWithinPartitions(*run, "start_s", "recording_key")
+    return ordered.groupBy(*run).applyInPandas(_walker(cap_s), schema)
 
 
 def _walker(cap_s: float):
