@@ -37,6 +37,9 @@ SEED = 32
 BATCHES = 3
 #: Entries under one anchor hash up to which their strings are compared side by side.
 GROUP = 512
+#: Strings of such entries that are counted together, and the rows that hold them.
+BLOCK = 8
+BLOCKS = "block long, seed long, whole long, n long, start int, steps array<int>, strings array<long>"
 _STEP = 1 << 20
 _REACH = SPAN - SEED + 1
 
@@ -193,15 +196,15 @@ class SuffixIndex:
         sizes = mine.groupBy("seed").agg(F.count("*").alias("entries")).where("entries > 1")
         differing = settle(mine.join(settle(sizes, "sizes"), "seed").select("seed", "whole", "n", "doc_id", "place", "entries"), "differing")
         by_text = differing.groupBy("doc_id", (F.col("place") % 32768).alias("tag")).agg(
-            F.collect_list(F.struct("seed", "whole", "place", "entries")).alias("wanted")  # bounded by the text
+            F.collect_list(F.struct("seed", "whole", "n", "place", "entries")).alias("wanted")  # bounded by the text
         )
         texts = packed_texts(self.rows).join(settle(by_text, "wanted"), ["doc_id", "tag"])
         cut = texts.select("packed", "wanted")
         small = cut.select("packed", F.filter("wanted", lambda w: w["entries"] <= GROUP).alias("wanted")).where(F.size("wanted") > 0)
         large = cut.select("packed", F.filter("wanted", lambda w: w["entries"] > GROUP).alias("wanted")).where(F.size("wanted") > 0)
-        parts = small.mapInArrow(_slices, "seed long, whole long, place long, text binary")
+        parts = small.mapInArrow(_slices, "seed long, whole long, n long, place long, text binary")
         runs = parts.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare, "seed long, whole long, runs array<struct<first:int,last:int>>")
-        crowd = settle(large.mapInArrow(_slices, "seed long, whole long, place long, text binary"), "crowds")
+        crowd = settle(large.mapInArrow(_slices, "seed long, whole long, n long, place long, text binary"), "crowds")
         # how far an entry agrees with any other, on either side of the anchor, bounds the strings they can share
         sides = crowd.mapInArrow(_sides, "seed long, whole long, before boolean, steps int, part long")
         shared = sides.groupBy("part").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("part")
@@ -209,9 +212,17 @@ class SuffixIndex:
         reach = sides.join(settle(shared, "shared-sides"), "part").groupBy("seed", "whole").agg(
             steps(F.col("before")).alias("left"), steps(~F.col("before")).alias("right")
         )
-        strings = crowd.join(settle(reach, "reach"), ["seed", "whole"]).mapInArrow(_strings, "string long, seed long, whole long, at int")
-        again = strings.groupBy("string").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("string")
-        hits = strings.join(settle(again, "strings"), "string").groupBy("seed", "whole").agg(F.collect_set("at").alias("at"))  # at most 369
+        blocks = settle(crowd.join(settle(reach, "reach"), ["seed", "whole"]).mapInArrow(_strings, BLOCKS), "blocks")
+        # each different block of strings once; a string occurs again in another block, or with its block
+        every = blocks.groupBy("block").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.min(F.struct("steps", "strings")).alias("one"))
+        every = every.select("block", (F.col("low") != F.col("high")).alias("common"), F.explode(F.arrays_zip("one.steps", "one.strings")).alias("x"))
+        every = settle(every.select("block", "common", F.col("x.steps").alias("step"), F.col("x.strings").alias("string")), "strings")
+        again = every.groupBy("string").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.max("common").alias("common"))
+        again = settle(again.where("low <> high or common").select("string"), "again")
+        steps = settle(every.join(again, "string").groupBy("block").agg(F.collect_set("step").alias("again")), "steps")  # at most BLOCK
+        # entries that occur again as a whole are covered already
+        hits = blocks.where("n = 1").join(steps, "block").select("seed", "whole", F.transform("again", lambda x: F.col("start") - x).alias("at"))
+        hits = hits.groupBy("seed", "whole").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most 369
         single = F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last")))
         return repeated.unionByName(runs).unionByName(hits.select("seed", "whole", single.alias("runs")))
 
@@ -234,7 +245,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last, _ = _unplace(np.array([w["place"] for w in rows]))
             texts = [data[a : b + SPAN] for a, b in zip(first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_pydict(
-                {"seed": [w["seed"] for w in rows], "whole": [w["whole"] for w in rows], "place": [w["place"] for w in rows], "text": pa.array(texts, pa.binary())}
+                {"seed": [w["seed"] for w in rows], "whole": [w["whole"] for w in rows], "n": [w["n"] for w in rows], "place": [w["place"] for w in rows], "text": pa.array(texts, pa.binary())}
             )
 
 
@@ -258,20 +269,33 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those strings of each entry, as hashes, that reach no further than it agrees with another entry."""
+    """Those strings of each entry, as hashes, that reach no further than it agrees with another entry.
+
+    They come in blocks by their distance from the anchor: string ``step`` of a block starts at ``start - step``.
+    """
     for batch in batches:
         first, last, anchor = _unplace(batch.column("place").to_numpy())
         rows = zip(
-            batch.column("seed").to_pylist(), batch.column("whole").to_pylist(), batch.column("text"), (last - first).tolist(), anchor.tolist(),
+            batch.column("seed").to_pylist(), batch.column("whole").to_pylist(), batch.column("n").to_pylist(), batch.column("text"), (last - first).tolist(), anchor.tolist(),
             batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True,
         )
-        for seed, whole, text, count, place, left, right in rows:
+        out: dict[str, list] = {"block": [], "seed": [], "whole": [], "n": [], "start": [], "steps": [], "strings": []}
+        for seed, whole, n, text, count, place, left, right in rows:
             # a string from ``at`` holds place - at bytes before the anchor, and the rest after it
             low = max(0, place - SEED * (left + 1) + 1)
             high = min(count, place + SEED * (right + 1) - 1 - SPAN)
-            if low <= high:
-                h = Hashed(np.frombuffer(text.as_py(), np.uint8)).all_runs(SPAN)[low : high + 1].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"string": h, "seed": np.full(len(h), seed), "whole": np.full(len(h), whole), "at": np.arange(low, high + 1, dtype=np.int32)})
+            if low > high:
+                continue
+            strings = Hashed(np.frombuffer(text.as_py(), np.uint8)).all_runs(SPAN)[low : high + 1].view(np.int64)
+            before = place - np.arange(low, high + 1)
+            for b in range(int(before[-1]) // BLOCK, int(before[0]) // BLOCK + 1):
+                mine = before // BLOCK == b
+                steps, held = (before[mine] % BLOCK).astype(np.int32), strings[mine]
+                name = xxhash.xxh3_64_intdigest(held.tobytes() + steps.tobytes()) - (1 << 63)
+                for column, value in zip(out.values(), (name, seed, whole, n, place - b * BLOCK, steps, held), strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
 
 
 _RUNS = pa.schema([("seed", pa.int64()), ("whole", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
