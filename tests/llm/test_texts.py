@@ -52,7 +52,9 @@ def test_added_spans_and_redaction(spark, frame):
     for i, text in good:
         spans = [tuple(x) for x in rows[i]["spans"]]
         assert set(plain_spans(text)) <= set(spans) and spans == sorted(spans)
-    clean = {r["doc_id"]: r["text"] for r in personal_data.redact(docs, model).collect()}
+    named = docs.withColumnRenamed("score", "_spans")
+    assert personal_data.redact(named, model).columns == named.columns
+    clean = {r["doc_id"]: r["text"] for r in personal_data.redact(named, model).collect()}
     assert clean[3] == "call us [PHONE] or write to [EMAIL] now" and clean[901] is None and clean[902] == "order 55 of 12"
     assert personal_data.find(docs.where("false"), model).count() == 0
     assert personal_data.fit(docs.where("false")).thresholds == {}
@@ -85,9 +87,10 @@ def test_line_frequency(spark):
     held = Counter((h, x) for _, h, t, _ in rows if t is not None for x in {bare(y) for y in t.split("\n")} if x)
     bad = {k for k, n in held.items() if k[0] and pages[k[0]] >= 20 and n > 0.1 * pages[k[0]]}
     want = sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (h, bare(x)) not in bad)) for i, h, t, _ in rows)
-    got = line_frequency.drop_lines(docs.drop("_bad"), counts=("n", "gone"))
+    got = line_frequency.drop_lines(docs, counts=("n", "gone"))
+    assert got.columns == [*docs.columns, "n", "gone"]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
-    assert line_frequency.drop_lines(docs.drop("_bad").where("false")).count() == 0
+    assert line_frequency.drop_lines(docs.where("false")).count() == 0
     assert bad
 
 

@@ -20,6 +20,17 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(col(name).alias(alias) for alias, name in names.items()))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def tokenizer_path(name: str) -> str:
     """File of a public tokenizer; ``WAYLINE_TOKENIZERS`` names the folder, else the installed package does."""
     folder = os.environ.get("WAYLINE_TOKENIZERS")
@@ -47,5 +58,8 @@ def map_columns(
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields
                     )
+                # a worker serves many stages: what Arrow keeps in reserve adds up
+                del out
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.frames import col
+from wayline.llm.frames import col, unused
 from wayline.session import settle
 
 RATIO = 0.1
@@ -55,19 +55,18 @@ def drop_lines(
     ``counts`` names two further columns: how many lines a text had, and how many were dropped.
     """
     found = settle(boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
-    salted = found.select(F.col("host").alias("_host"), F.col("lines").alias("_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    at, bad, salts, own, left_over = unused(docs, "_host", "_bad", "_salt", "_own_salt", "_kept")
+    salted = found.select(F.col("host").alias(at), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salts))
     salt = F.pmod(F.xxhash64(col(host), col(text)) + F.monotonically_increasing_id() % 1_000_003, F.lit(SALTS)).cast("int")
-    met = docs.withColumn("_salted", salt).join(
-        salted, (col(host) == F.col("_host")) & (F.col("_salted") == F.col("_salt")), "left"
-    )
+    met = docs.withColumn(own, salt).join(salted, (col(host) == F.col(at)) & (F.col(own) == F.col(salts)), "left")
     pairs = F.arrays_zip(lines_of(col(text)).alias("line"), _hashes(col(text)).alias("hash"))
-    kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~F.array_contains(F.col("_bad"), p["hash"]))
-    met = met.withColumn("_kept", F.when(F.col("_bad").isNotNull(), F.transform(kept, lambda p: p["line"])))
-    clean = F.when(F.col("_kept").isNull(), col(text)).otherwise(F.array_join("_kept", "\n"))
+    kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~F.array_contains(F.col(bad), p["hash"]))
+    met = met.withColumn(left_over, F.when(F.col(bad).isNotNull(), F.transform(kept, lambda p: p["line"])))
+    clean = F.when(F.col(left_over).isNull(), col(text)).otherwise(F.array_join(left_over, "\n"))
     out = [clean.alias(c) if c == text else col(c) for c in docs.columns]
     if counts:
         total = F.when(col(text).isNull(), 0).otherwise(F.size(lines_of(col(text))))
-        left = F.when(F.col("_kept").isNull(), total).otherwise(F.size("_kept"))
+        left = F.when(F.col(left_over).isNull(), total).otherwise(F.size(left_over))
         out += [total.cast("long").alias(counts[0]), (total - left).cast("long").alias(counts[1])]
     return met.select(*out)
 

@@ -97,6 +97,7 @@ def _cut(path: str, tokens: int, keep_ids: bool):
             if keep_ids:
                 out["ids"], fields = kept, [*fields, ("ids", pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(fields))
+            pa.default_memory_pool().release_unused()
 
     return run
 

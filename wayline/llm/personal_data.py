@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.frames import col, pick
+from wayline.llm.frames import col, pick, unused
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
@@ -301,8 +301,9 @@ def redact(docs: DataFrame, model: BoostedTrees, *, text: str = "text") -> DataF
     """
     body = _searchable(col(text))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    found = docs.withColumn("_base", base_spans(body)).withColumn("_spans", spans(body, F.col("_base"), model))
-    ordered = F.array_sort(F.transform("_spans", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))))
+    base, every = unused(docs, "_base", "_spans")
+    found = docs.withColumn(base, base_spans(body)).withColumn(every, spans(body, F.col(base), model))
+    ordered = F.array_sort(F.transform(every, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))))
 
     def step(state: Column, b: Column) -> Column:
         gap = F.substring(col(text), state["at"] + 1, F.greatest(F.lit(0), b["s"] - state["at"]))
@@ -313,7 +314,7 @@ def redact(docs: DataFrame, model: BoostedTrees, *, text: str = "text") -> DataF
 
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     joined = F.aggregate(ordered, first, step, lambda s: F.concat(s["out"], F.substring(col(text), s["at"] + 1, F.length(col(text)))))
-    clean = F.when(F.size("_spans") > 0, joined).otherwise(col(text))
+    clean = F.when(F.size(every) > 0, joined).otherwise(col(text))
     return found.select(*(clean.alias(c) if c == text else col(c) for c in docs.columns))
 
 
