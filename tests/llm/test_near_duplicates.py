@@ -69,6 +69,34 @@ def test_components_of_near_duplicates(spark, frame):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), want[i], want[i] == i), i
 
 
+def test_links_inside_large_families(spark, frame):
+    """Passages in hundreds of longer documents, and in pairs of short ones that meet longer strangers only."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    some = lambda low, high: rng.choices(words, k=rng.randint(low, high))
+    passages = [rng.choices(words, k=60) for _ in range(20)]
+    texts = [" ".join(some(12, 60) + p + some(12, 60)) for p in passages for _ in range(30)]
+    texts += [" ".join(some(3, 4) + p + some(3, 4)) for p in passages for _ in range(2)]
+    want = plain_components(plain_sets(texts))
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(frame(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(x != i for i, x in enumerate(want)) >= len(passages)
+
+
+def test_pairs_with_different_nearest_leaders(spark):
+    """Documents 10 and 11 are near; each is nearest to a leader that the other has not met."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    passage = some(60)
+    texts = {k: f"{some(30)} {passage} {some(30)}" for k in range(3)} | {k: f"{some(4)} {passage} {some(4)}" for k in (10, 11)}
+    packed = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "doc_id long, text binary")
+    packed = setsketch.map_columns(packed, setsketch._press, "doc_id long, packed binary")
+    met = [(0, 10, 10, False), (0, 11, 11, False), (1, 10, 10, True), (2, 11, 11, True)]
+    families = spark.createDataFrame(met, "a long, b long, component long, nearest boolean")
+    assert [tuple(r) for r in setsketch._beside_leader(families, packed).collect()] == [(10, 11)]
+
+
 def test_empty_table(spark, frame):
     assert setsketch.near_duplicates(frame([(1, "a")]).where("false")).count() == 0
 

@@ -8,7 +8,7 @@ likelihood, jointly with the known set sizes; what may reach the threshold is ve
 
 Documents with equal sets are one node from the start. In a bucket of a band every member meets its leader, the
 smallest id, so a bucket of any size gives no more pairs than members. Members that stay unconnected are compared
-by what they hold beside their nearest leader (``_beside_leader``), which finds the further links of a group
+by what they hold beside each leader they met (``_beside_leader``), which finds the further links of a group
 without giving its pairs. With ``BANDS`` bands of ``ROWS`` registers a pair at the threshold shares no bucket with
 a chance of 2.3e-6.
 
@@ -20,10 +20,12 @@ ignored; an empty table gives no rows. Texts are read whole.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.frames import map_columns, pick
@@ -170,47 +172,71 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(own, "b").join(leader, "a")
 
 
-def _differences(columns: list):
-    """Per (leader, document): set size, shingles shared with the leader, and the first of the others.
+def _differences(columns: list, whole: bool = False):
+    """Per (leader, document): set size, shingles shared with the leader, how many a partner must share beside it, and
+    the others or, unless ``whole``, the first of them.
 
     A partner must share so many of the document's shingles that it shares one of these first ones, if it shares any
     beside the leader.
     """
     opener, known = zstandard.ZstdDecompressor(), {}
     out = []
-    for a, b, one, two, component, first in zip(*(c.to_pylist() for c in columns), strict=True):
+    for a, b, one, two, component in zip(*(c.to_pylist() for c in columns), strict=True):
         if a not in known:
             known = {a: shingles(opener.decompress(one))}
         own = shingles(opener.decompress(two))
         beside = np.setdiff1d(own, known[a], assume_unique=True)
         shared = len(own) - len(beside)
         needed = max(1, -(-SIMILARITY[0] * len(own) // SIMILARITY[1]) - shared)
-        out.append((a, b, component, first, len(own), shared, beside[: max(0, len(beside) - needed + 1)].view(np.int64)))
+        first = len(beside) if whole else max(0, len(beside) - needed + 1)
+        out.append((a, b, component, len(own), shared, needed, beside[:first].view(np.int64)))
     return tuple(map(list, zip(*out)))
 
 
+def _common(u: str, m: str) -> Column:
+    """Shingles that two sets of known size must share to reach the threshold."""
+    return F.ceil(SIMILARITY[0] * (F.col(f"{u}.n") + F.col(f"{m}.n")) / sum(SIMILARITY))
+
+
+def _across(shingles_of: DataFrame) -> DataFrame:
+    """(a, shingle, held): shingles that members of two components of a family hold, and how many members do."""
+    counts = shingles_of.groupBy("a", "shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return counts.where("low <> high").select("a", "shingle", "held")
+
+
 def _beside_leader(families: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents of one family, in different components, that may reach the threshold.
 
     Inside the leader's set two documents share at most as many shingles as either shares with the leader. Where
     the threshold needs more, they also share one beside the leader, and such shingles are matched; where it does
-    not, both nearly lie inside the leader's set and the pair is compared. Copies of one text, each with its own edits,
-    share nothing beside it, so a large group of them gives no pairs. A pair is looked at in the family of the
-    leader nearest to one of the two.
+    not, both nearly lie inside the leader's set and the pair is compared. Of the shingles beside the leader the rarest
+    of the family are matched: those that one component holds come before all others and match nothing, so copies of
+    one text, each with its own edits, give no pairs, and neither does a passage that is too short to link its documents.
+    A pair is looked at in the family of every leader that both met; two documents that share a bucket have both met
+    its leader.
     """
-    met = _with_texts(families, texts).select("a", "b", "one", "two", "component", "nearest")
-    schema = "a long, b long, component long, nearest boolean, n long, shared long, beside array<long>"
-    parts = settle(map_columns(met, _differences, schema), "differences")
-    apart = (F.col("u.a") == F.col("m.a")) & F.col("u.nearest") & (F.col("u.component") != F.col("m.component"))
-    rare = parts.select("a", "b", "component", "nearest", F.explode("beside").alias("shingle"))
-    shared = rare.groupBy("a", "shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max("nearest").alias("nearest")
-    ).where("low <> high and nearest").select("a", "shingle")
-    rare = settle(rare.join(settle(shared, "beside"), ["a", "shingle"]), "beside")
-    by_shingle = rare.alias("u").join(rare.alias("m"), apart & (F.col("u.shingle") == F.col("m.shingle")))
-    sizes = parts.select("a", "b", "component", "nearest", "n", "shared")
-    needed = F.ceil(SIMILARITY[0] * (F.col("u.n") + F.col("m.n")) / sum(SIMILARITY))
-    by_size = sizes.alias("u").join(sizes.alias("m"), apart & (needed <= F.least("u.shared", "m.shared")))
+    schema = "a long, b long, component long, n long, shared long, needed long, beside array<long>"
+    columns = ["a", "b", "one", "two", "component"]
+    parts = settle(map_columns(_with_texts(families, texts).select(columns), _differences, schema), "differences")
+    exploded = lambda df: df.select("a", "b", "component", "n", "shared", "needed", F.explode("beside").alias("shingle"))
+    # members whose first shingles match none have no partner beside the leader: only the others are spread out whole
+    rare = exploded(parts)
+    live = settle(rare.join(_across(rare), ["a", "shingle"]).select("a", "b", "component").distinct(), "beside")
+    whole = map_columns(_with_texts(live, texts).select(columns), partial(_differences, whole=True), schema)
+    every = exploded(settle(whole, "differences"))
+    member = Window.partitionBy("a", "b")
+    every = every.join(_across(every), ["a", "shingle"])
+    every = every.withColumn("at", F.row_number().over(member.orderBy("held", "shingle"))).withColumn("left", F.count("*").over(member) - F.col("at"))
+    rare = settle(every.where("left + 1 >= needed"), "beside")
+    apart = (F.col("u.a") == F.col("m.a")) & (F.col("u.component") < F.col("m.component"))
+    inside = F.least("u.shared", "m.shared")
+    # what follows in the order is all that the two can share beyond this shingle, if it is their first
+    by_shingle = rare.alias("u").join(
+        rare.alias("m"), apart & (F.col("u.shingle") == F.col("m.shingle")) & (_common("u", "m") <= F.least("u.n", "m.n"))
+        & (_common("u", "m") <= inside + 1 + F.least("u.left", "m.left")),
+    )
+    sizes = parts.select("a", "b", "component", "n", "shared")
+    by_size = sizes.alias("u").join(sizes.alias("m"), apart & (_common("u", "m") <= inside))
     pair = [F.least("u.b", "m.b").alias("a"), F.greatest("u.b", "m.b").alias("b")]
     return by_shingle.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
@@ -239,14 +265,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     links = settle(_verified(tried, texts), "links")
     found = settle(components(links), "components")
     # families: the documents that met one leader; those of a single component need nothing more
-    nearest = tried.groupBy("b").agg(F.min_by("a", F.struct(-F.col("j"), "a")).alias("near"))
-    placed = tried.select("a", "b").join(found, F.col("b") == F.col("node"), "left").join(nearest, "b").select(
-        "a", "b", F.coalesce("component", "b").alias("component"), (F.col("a") == F.col("near")).alias("nearest")
+    placed = tried.select("a", "b").join(found, F.col("b") == F.col("node"), "left").select(
+        "a", "b", F.coalesce("component", "b").alias("component")
     )
     placed = settle(placed, "families")
-    split = placed.groupBy("a").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max("nearest").alias("nearest")
-    ).where("low <> high and nearest").select("a")
+    split = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
     beside = _beside_leader(settle(placed.join(split, "a", "left_semi"), "open"), texts)
     fresh = settle(beside.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = settle(_verified(_estimated(fresh, involved), texts), "links")
