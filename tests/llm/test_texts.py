@@ -127,6 +127,17 @@ def test_license_scan(spark, frame):
     assert licenses.license_spans(frame([(1, "a")]).where("false")).count() == 0
 
 
+def test_adjacent_licenses():
+    index = licenses.TemplateIndex.build(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        for n in (1, 2, 3, 5):
+            for gap in ("\n", " and ", " x y z w v "):
+                text = gap.join([template] * n)
+                found = [x for x in licenses.scan(text.encode(), index) if x[0] == name]
+                starts = [k * len(template + gap) for k in range(n)]
+                assert [x[1] for x in found] == starts and all(x[4] == 1 for x in found), (name, n, gap)
+
+
 def plain_removal(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))

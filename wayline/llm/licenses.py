@@ -2,8 +2,8 @@
 
 Templates are cut into runs of three words; of every four neighbouring runs the one with the least hash is a
 fingerprint, so six words in common are never missed. A text's runs are looked up in the index; hits of one template on
-nearby diagonals are a candidate region, which a local alignment inside a band settles: matched words, the share of
-the template they cover, and where they stand in the text.
+nearby diagonals are a candidate region, which local alignments inside a band settle, one for each copy: matched words, the
+share of the template they cover, and where they stand in the text.
 
 The templates are fixed and small; nothing but the texts grows. Only words that occur in a template are
 told apart, so most texts end at the lookup.
@@ -144,6 +144,35 @@ def align(template: list[int], text: list[int], low: int, high: int) -> tuple[in
     return best[1], best[2], best[3]
 
 
+def copies(template: list[int], ids: np.ndarray, region: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of every copy of a template around its hits, which are (text place, template place).
+
+    Each window of the hits within one template length and band of its first one is aligned; what lies left and
+    right of a copy is looked at again until nothing more reaches the coverage.
+    """
+    size, found = len(template), []
+    open_ = [(region, 0, len(ids))]
+    while open_:
+        hits, least, most = open_.pop()
+        if not hits:
+            continue
+        near = [x for x in hits if x[0] - hits[0][0] <= size + BAND]
+        diagonals = [a - p for a, p in near]
+        start = max(least, min(diagonals) - BAND)
+        end = min(most, max(diagonals) + size + BAND)
+        low, high = min(diagonals) - BAND - start, max(diagonals) + BAND - start
+        matched, first, last = align(template, ids[start:end].tolist(), low, high)
+        if matched < coverage * size:
+            # the first hit begins no copy that the others of its window would not give as well
+            open_.append((hits[1:], least, most))
+            continue
+        first, last = start + first, start + last
+        found.append((matched, first, last))
+        open_.append(([x for x in hits if x[0] + RUN <= first], least, first))
+        open_.append(([x for x in hits if x[0] >= last], last, most))
+    return found
+
+
 def scan(data: bytes, index: TemplateIndex, coverage: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
     """(license, first byte, end byte, matched words, coverage) of a text in UTF-8."""
     get = index.vocabulary.get
@@ -160,14 +189,8 @@ def scan(data: bytes, index: TemplateIndex, coverage: float = COVERAGE) -> list[
     for t, pairs in hits.items():
         size, region = len(index.words[t]), []
         for at, place in [*sorted(pairs), (1 << 60, 0)]:
-            if region and at - region[0][0] > size + BAND:
-                diagonals = [a - p for a, p in region]
-                start = max(0, min(diagonals) - BAND)
-                end = max(diagonals) + size + BAND
-                low, high = min(diagonals) - BAND - start, max(diagonals) + BAND - start
-                matched, first, last = align(index.words[t], ids[start:end].tolist(), low, high)
-                if matched >= coverage * size:
-                    found.append((-matched, index.names[t], start + first, start + last, matched / size))
+            if region and at - region[-1][0] > size + BAND:
+                found += [(-matched, index.names[t], first, last, matched / size) for matched, first, last in copies(index.words[t], ids, region, coverage)]
                 region = []
             region.append((at, place))
     kept: list[tuple[int, int]] = []
