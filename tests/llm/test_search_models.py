@@ -117,3 +117,17 @@ def test_compression_bands(spark, frame):
     near = " ".join(f"item {i} of the list" for i in range(900))
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in compression.quality(frame([(1, prose), (2, noise), (3, near)])).collect()}
     assert got[1] == (False, True) and got[2] == (False, False) and got[3] == (False, False)
+
+
+def test_chunks_reach_the_end():
+    import zstandard
+
+    packer, rng = zstandard.ZstdCompressor(level=compression.LEVEL), np.random.default_rng(3)
+    prose = bytes(rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 2 * compression.CHUNK))
+    for size, want in ((1500, (1, 0)), (2048, (1, 0)), (4096, (2, 0)), (2049, (2, 0)), (4095, (2, 0))):
+        assert compression.compression_verdict(prose[:size], packer)[2:] == want
+    assert compression.compression_verdict(prose[:2048] + b"again and " * 190, packer)[2:] == (2, 1)
+    assert compression.compression_verdict(b"again and " * 50, packer)[::2] == (False, 1)
+    # one chunk of prose, one and a half of noise, so most of the chunks are bad
+    noise = rng.integers(0, 256, compression.CHUNK + 900, dtype=np.uint8).tobytes()
+    assert compression.compression_verdict(prose[:2048] + noise, packer)[2:] == (3, 2)

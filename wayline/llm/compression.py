@@ -1,7 +1,8 @@
 """Quality rules on compression ratios.
 
 A text's zstandard ratio (compressed / original bytes) must lie in the band of its length: below it the text
-repeats itself, above it it is noise. The same holds for fixed chunks of it, of which a given share may fail.
+repeats itself, above it it is noise. The same holds for fixed chunks of it, of which a given share may fail; the
+last one ends where the text does and overlaps the one before, and a text shorter than a chunk is one in its own band.
 Base counts of words, symbols, repeated lines and repeated word windows come with it.
 
 Results for odd input: null and empty texts have no words and fail the base rule. Texts shorter than the first
@@ -80,7 +81,10 @@ def compression_verdict(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[
     if limits is None:
         return True, None, 0, 0
     ratio = len(packer.compress(data)) / len(data)
-    chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)]
+    if len(data) < CHUNK:  # its own only chunk, in the band of its length
+        return limits[0] <= ratio <= limits[1], ratio, 1, int(not limits[0] <= ratio <= limits[1])
+    starts = [*range(0, len(data) - CHUNK, CHUNK), len(data) - CHUNK]
+    chunks = [data[i : i + CHUNK] for i in starts]
     bad = sum(not CHUNK_BAND[0] <= len(packer.compress(c)) / CHUNK <= CHUNK_BAND[1] for c in chunks)
     return limits[0] <= ratio <= limits[1] and bad <= BAD_CHUNKS * len(chunks), ratio, len(chunks), bad
 
