@@ -63,3 +63,17 @@ def map_columns(
                 pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
+
+
+#: DuckDB has no crc32: a table of one value per byte, as the CTE ``crc_table``, and an expression over it.
+CRC32_SQL = (
+    "crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]), "
+    "lambda c, b : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS v FROM range(256) r(i))"
+)
+
+
+def crc32_of(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes, in a SELECT that has ``crc_table`` in its FROM."""
+    codes = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i : ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    steps = f"list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b : xor(crc_table.v[(xor(c, b) & 255) + 1], c >> 8))"
+    return f"xor({steps}, 4294967295)"
