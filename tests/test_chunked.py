@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayline.plans.asof import bracket
 from wayline.plans.chunked import attach, scan, smooth, spread
-from wayline.plans.overlap import overlap_join
+from wayline.plans.overlap import _nodes, overlap_join
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,24 @@ def test_overlap_join_is_whole_and_single(spark):
     got = [(x.i, x.j) for x in overlap_join(l, r, ["k"], ("a", "b"), ("c", "d"), 7.0).collect()]
     want = [(i, j) for i, a, b in left for j, c, d in right if a <= d and c <= b]
     assert sorted(got) == sorted(want)
+
+
+def test_a_span_of_ten_years_has_few_copies(spark):
+    decade = 10 * 365.25 * 86400
+    spans = spark.createDataFrame([(1, 0, -decade / 2, decade / 2), (1, 1, 5.0, 5.0), (1, 2, 50.0, 10.0), (1, 3, -1e9, 1e12)], "k INT, i INT, a DOUBLE, b DOUBLE")
+    points = [(1, j, random.Random(j).uniform(-decade, decade)) for j in range(200)] + [(1, 500, 5.0), (1, 501, decade / 2), (2, 502, 5.0)]
+    right = spark.createDataFrame([(k, j, c, c) for k, j, c in points], "k INT, j INT, c DOUBLE, d DOUBLE")
+    got = sorted((x.i, x.j) for x in overlap_join(spans, right, ["k"], ("a", "b"), ("c", "d"), 600.0).collect())
+    want = [(i, j) for i, a, b in ((0, -decade / 2, decade / 2), (1, 5.0, 5.0), (3, -1e9, 1e12)) for k, j, c in points if k == 1 and a <= c <= b]
+    assert got == sorted(want)
+    lo, hi = (F.floor(F.col(c) / 600).cast("bigint").alias(n) for c, n in (("a", "lo"), ("b", "hi")))
+    sizes = spans.filter("a <= b").select(lo, hi).select(F.size(_nodes("lo", "hi")).alias("n"), "lo", "hi").collect()
+    assert all(r.n <= 2 * max(1, (r.hi - r.lo + 1).bit_length()) for r in sizes)
+
+
+def test_dyadic_nodes_cover_each_bucket_once(spark):
+    rng = random.Random(2)
+    spans = [(lo, lo + rng.choice([0, 1, 2, 3, 7, 8, 30, 100])) for lo in (rng.randrange(-200, 200) for _ in range(300))]
+    for r in spark.createDataFrame(spans, "lo BIGINT, hi BIGINT").select("lo", "hi", _nodes("lo", "hi").alias("n")).collect():
+        held = [b for x in r.n for b in range(x.node << x.level, (x.node + 1) << x.level)]
+        assert sorted(held) == list(range(r.lo, r.hi + 1)), (r.lo, r.hi, r.n)

@@ -181,3 +181,45 @@ def test_impossible_jump(spark, lat, elapsed_s, forced):
     base = archive(spark, [(0, 60), (100, 60)]).join(spans, movement.RECORDING, "left")
     found = trips.detect(base, force_split=movement.jump_rule(), extra=("start_fix", "end_fix"))
     assert [r.rule for r in found.orderBy("recording_key").collect()] == ["first", "force" if forced else "within"]
+
+
+@pytest.mark.parametrize("short", [256, 4])
+def test_cap_cuts_of_random_runs_equal_the_walk(spark, monkeypatch, short):
+    """Folded and by pointers: also steps of nothing, and steps over the cap by themselves."""
+    monkeypatch.setattr(trips, "SHORT_RUN", short)
+    rng = random.Random(short)
+    rows, want = [], {}
+    for camera in range(8):
+        durs = [rng.choice([None, 0, 0, 30, 100, 299, 300, 301, 900]) for _ in range(rng.choice([1, 3, 40, 250]))]
+        kind = [(camera * 1000 + i * 50, d, "P", True) for i, d in enumerate(durs)]
+        rows += [(camera, camera * 1000 + i, f"r{i}", s, k, d, 1, ok) for i, (s, d, k, ok) in enumerate(kind)]
+        want |= {camera * 1000 + i: no for i, no in enumerate(walk(kind, 10**6, 300))}
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = trips.detect(df, max_gap_s=10**6, parking_cap_s=300, chunk_s=700).collect()
+    assert {r.recording_key: r.trip_no for r in found} == want
+    held: dict = {}
+    for r in sorted(found, key=lambda r: (r.camera_id, r.start_s, r.recording_key)):
+        step = r.duration_s or 0
+        asked = held.get(r.camera_id, 0) + step
+        cut = r.camera_id in held and asked > 300
+        assert r.parking_total_s == (asked if cut else None)
+        held[r.camera_id] = step if cut else asked
+
+
+def test_one_parking_run_of_a_million_rows(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("camera_id"), F.col("id").alias("recording_key"), F.lit("r").alias("recording_id"),
+        (F.col("id") * 60).alias("start_s"), F.lit("P").alias("kind"), (20 + F.col("id") * 7 % 41).alias("duration_s"),
+        F.lit(1).cast("bigint").alias("size_bytes"), F.lit(True).alias("timestamp_reliable"),
+    )
+    got = [r[0] for r in trips.detect(rows, parking_cap_s=40_000).filter("rule = 'cap'").select("recording_key").collect()]
+    held, want = 0, []
+    for i in range(n):
+        step = 20 + i * 7 % 41
+        if i and held + step > 40_000:
+            want.append(i)
+            held = step
+        else:
+            held += step
+    assert sorted(got) == want and len(want) > 900

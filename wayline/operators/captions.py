@@ -11,6 +11,7 @@ from ..functions.text import srt_time
 from ..plans.asof import bracket
 from ..plans.chunked import attach, scan, spread
 from ..plans.overlap import overlap_join
+from ..session import settle
 
 # Fixed values of caption timing (seconds, characters per second).
 SIGN_CUE_S = 3.0
@@ -255,8 +256,8 @@ def merge_captions(events: DataFrame, keys: Sequence[str], chunk_s: float = CHUN
     has no room and is dropped. A cue shows from 2 s before to 2 s after its moment,
     longer for long text, never into the next moment and never over the cue before.
 
-    Only cues 2 s to (reading time + 2 s) apart depend on the one before, so the
-    sequential fold runs over such short bursts, not over whole recordings.
+    A cue's end is a clamped shift of the end before it, and such steps compose: recordings are walked in blocks whose
+    summaries are composed in turn, so a burst of any length is spread over tasks.
     """
     at = F.greatest(F.least(F.col("t_s"), F.col("video_s")), F.lit(0.0))
     cues = (
@@ -290,28 +291,88 @@ def merge_captions(events: DataFrame, keys: Sequence[str], chunk_s: float = CHUN
     marked = scan(
         cues, keys, ["s"], spread("s", chunk_s), prev={"_p": F.struct("s", "c")},
         nxt={"_next_s": F.col("s")}, derive=loose, derive_from=["s", "c"],
-        total={"burst": F.col("_free").cast("bigint")},
+        number="_n",
     ).withColumn("e", F.coalesce("_next_s", "video_s"))
-    row = F.struct("s", "e", "c", "text", "_start")
-    bursts = marked.groupBy(*keys, "burst").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return _show(marked, keys)
+
+
+#: Rows of a block, and blocks under one summary.
+BLOCK = 64
+
+# What a run of cues makes of the end before it: x -> least(greatest(x + by, low), high). Such steps compose.
+_STEP = "STRUCT<by: DOUBLE, low: DOUBLE, high: DOUBLE>"
+
+
+def _clamp(x: Column, step: Column) -> Column:
+    return F.least(F.greatest(x + step["by"], step["low"]), step["high"])
+
+
+def _compose(first: Column, then: Column) -> Column:
+    """One step for two in a row."""
+    return F.struct(
+        (first["by"] + then["by"]).alias("by"), _clamp(first["low"], then).alias("low"), _clamp(first["high"], then).alias("high")
+    )
+
 
+def _cue_step(x: Column) -> Column:
+    """A free cue ends where it ends; another one starts behind the cue before it and reads on from there."""
+    lead = F.greatest(x["s"] - LEAD_S, F.lit(0.0))
+    fixed = F.greatest(F.least(F.greatest(x["s"] + TRAIL_S, x["_start"] + x["c"]), x["e"]), x["_start"])
+    low = F.least(F.greatest(x["s"] + TRAIL_S, lead + x["c"]), x["e"])
+    free = x["_start"].isNotNull()
+    return F.struct(
+        x["c"].alias("by"), F.when(free, fixed).otherwise(low).alias("low"), F.when(free, fixed).otherwise(x["e"]).alias("high")
+    )
+
+
+def _fold_steps(steps: Column) -> Column:
+    rest = F.slice(steps, 2, F.size(steps))
+    return F.aggregate(rest, F.element_at(steps, 1).cast(_STEP), lambda acc, x: _compose(acc, x).cast(_STEP))
+
+
+def _show(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Start and end of every cue, by a scan of composed steps over blocks, and over blocks of blocks.
+
+    The end before a block comes down from the summary above it, so a recording of any number of cues in one burst
+    is spread over tasks, and no task holds more than a block."""
+    row = F.struct("s", "e", "c", "text", "_start")
+    blocks = marked.groupBy(*keys, F.floor((F.col("_n") - 1) / BLOCK).cast("bigint").alias("_at")).agg(
+        F.array_sort(F.collect_list(row)).alias("rows")  # at most a block
+    )
+    blocks = settle(blocks, "caption-blocks")
+    most = blocks.agg(F.max("_at").alias("n")).first()["n"] or 0  # one number
+    level = blocks.filter(F.lit(most > 0)).select(*keys, "_at", _fold_steps(F.transform("rows", _cue_step)).alias("step"))
+    levels = []
+    while most > 0:
+        level = level.groupBy(*keys, F.floor(F.col("_at") / BLOCK).cast("bigint").alias("_up")).agg(
+            F.array_sort(F.collect_list(F.struct("_at", "step"))).alias("parts")
+        ).withColumnRenamed("_up", "_at")
+        levels.append(settle(level, "caption-levels"))
+        most //= BLOCK
+        level = levels[-1].select(*keys, "_at", _fold_steps(F.col("parts.step")).alias("step"))
+    if levels:
+        ends = levels[-1].select(*keys, "_at", F.lit(0.0).alias("_end"))
+        for parts in reversed(levels):
+            # ends before each part, one after the other
+            prefix = F.aggregate(
+                "parts", F.array(F.col("_end")).cast("array<double>"),
+                lambda done, x: F.concat(done, F.array(_clamp(F.element_at(done, -1), x["step"]))),
+            )
+            ends = parts.join(ends, [*keys, "_at"]).select(*keys, F.explode(F.arrays_zip(F.col("parts._at").alias("at"), prefix.alias("end"))).alias("_e"))
+            ends = ends.filter("_e.at IS NOT NULL").select(*keys, F.col("_e.at").alias("_at"), F.col("_e.end").alias("_end"))
+        blocks = blocks.join(ends, [*keys, "_at"])
+    else:
+        blocks = blocks.withColumn("_end", F.lit(0.0))
     cue = "STRUCT<start_s: DOUBLE, end_s: DOUBLE, text: STRING>"
 
     def show(done: Column, x: Column) -> Column:
         before = F.element_at(done, -1)["end_s"]
-        lead = F.greatest(x["s"] - LEAD_S, F.lit(0.0))
-        start = F.coalesce(x["_start"], F.greatest(lead, before))
-        end = F.greatest(F.least(F.greatest(x["s"] + TRAIL_S, start + x["c"]), x["e"]), start)
-        return F.concat(done, F.array(F.struct(start.alias("start_s"), end.alias("end_s"), x["text"].alias("text"))))
-
-    # the first row of a burst has its start already; seed the fold with it
-    first = F.element_at("rows", 1)
-    first_end = F.greatest(
-        F.least(F.greatest(first["s"] + TRAIL_S, first["_start"] + first["c"]), first["e"]), first["_start"]
-    )
-    seed = F.array(F.struct(first["_start"].alias("start_s"), first_end.alias("end_s"), first["text"].alias("text")))
-    folded = F.aggregate(F.slice("rows", 2, F.size("rows")), seed.cast(f"ARRAY<{cue}>"), show)
-    return bursts.select(*keys, F.explode(folded).alias("_c")).select(*keys, "_c.*")
+        start = F.coalesce(x["_start"], F.greatest(F.greatest(x["s"] - LEAD_S, F.lit(0.0)), before))
+        return F.concat(done, F.array(F.struct(start.alias("start_s"), _clamp(before, _cue_step(x)).alias("end_s"), x["text"].alias("text"))))
+
+    seed = F.array(F.struct(F.lit(None).alias("start_s"), F.col("_end").alias("end_s"), F.lit(None).alias("text")))
+    folded = F.aggregate("rows", seed.cast(f"ARRAY<{cue}>"), show)
+    return blocks.select(*keys, F.explode(F.slice(folded, 2, BLOCK)).alias("_c")).select(*keys, "_c.*")
 
 
 def srt_blocks(cues: DataFrame, number: str = "cue_no", speaker: str | None = None) -> DataFrame:

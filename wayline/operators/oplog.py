@@ -72,6 +72,6 @@ def run_lines(
         (begin + F.col("duration_seconds") + SLACK_S).alias("_b"),
     )
     at = clock.epoch_us("ts") / 1_000_000
-    lines = records.select(*keys, "record_no", "source", at.alias("_c"), at.alias("_d"))
-    met = overlap_join(runs, lines, [*keys, "source"], ("_a", "_b"), ("_c", "_d"), width_s)
+    lines = records.select(*keys, "record_no", "source", at.alias("_c"))
+    met = overlap_join(runs, lines, [*keys, "source"], ("_a", "_b"), ("_c", "_c"), width_s)
     return met.select(*keys, "number", "record_no")

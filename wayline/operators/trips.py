@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from calendar import monthrange
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import clock
 from ..functions.ids import Interval
+from ..plans.asof import bracket
 from ..plans.chunked import scan, spread
 from ..session import settle
 
@@ -106,10 +105,10 @@ def detect(
 
 
 def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
-    """Parking cap. Only runs whose parking time passes the cap need the sequential walk.
+    """Parking cap. Only runs whose parking time passes the cap are looked into.
 
     A run is a stretch of parking rows without any other split; the running total
-    never crosses a run edge. One run goes through ``applyInPandas`` batch by batch.
+    never crosses a run edge.
     """
     parking = F.col("kind") == "P"
     added = F.when(parking, F.coalesce(F.col("duration_s"), F.lit(0))).otherwise(F.lit(0))
@@ -128,16 +127,15 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
         "parking-runs",
     )
     in_run = marked.filter(parking)
-    totals = in_run.groupBy("camera_id", "_run").agg(F.sum("_added").alias("_run_total"))
+    totals = in_run.groupBy("camera_id", "_run").agg(
+        F.sum("_added").alias("_run_total"), F.count(F.lit(1)).alias("_run_rows")
+    )
     over = totals.filter(F.col("_run_total") > cap_s).select("camera_id", "_run")
     in_over = in_run.join(over, ["camera_id", "_run"], "left_semi").select(
         "camera_id", "_run", "start_s", "recording_key", "_added"
     )
-    walked = settle(_walk_runs(in_over, float(cap_s)), "parking-walk")
-    # total still running when a run ends: the walk's last value, else the plain sum
-    last = walked.groupBy("camera_id", "_run").agg(
-        F.max_by("_held", F.struct("start_s", "recording_key")).alias("_last_held")
-    )
+    cuts, last = _cap_cuts(in_over, totals, int(cap_s))
+    # total still running when a run ends: that of the last cut on, else the plain sum
     ends = totals.join(last, ["camera_id", "_run"], "left").select(
         "camera_id",
         F.col("_run").alias("_ref"),
@@ -149,7 +147,7 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
         prev_parking & (F.col("_opens") | ~parking),
         F.col("_run") - F.col("_opens").cast("bigint"),
     ).otherwise(-1 - F.abs(F.xxhash64("recording_key") % 1000000))
-    verdicts = walked.select("camera_id", "recording_key", "_cut", "_asked")
+    verdicts = cuts.withColumn("_cut", F.lit(True))
     out = (
         marked.withColumn("_ref", ref)
         .join(ends, ["camera_id", "_ref"], "left")
@@ -176,32 +174,83 @@ def _apply_cap(recordings, row, needed, decide, cap_s, chunk_s) -> DataFrame:
     )
 
 
-def _walk_runs(rows: DataFrame, cap_s: float) -> DataFrame:
-    """Sequential cap verdicts, streamed: a run of any length is held one batch at a time."""
+#: Rows of a parking run that are folded as one array; longer runs are cut by pointers.
+SHORT_RUN = 256
+
+
+def _cap_cuts(rows: DataFrame, totals: DataFrame, cap_s: int) -> tuple[DataFrame, DataFrame]:
+    """(camera_id, recording_key, _asked) of the cuts inside runs, and (camera_id, _run, _last_held) of the runs.
+
+    Short runs fold in the JVM as arrays of at most ``SHORT_RUN`` rows. In longer ones every row points to the row
+    where a trip begun at it would be cut; the cuts are the rows reached from the start of the run, found by doubling the
+    pointers. No task holds a long run.
+    """
+    sized = rows.join(totals.select("camera_id", "_run", "_run_rows"), ["camera_id", "_run"])
+    short = _fold_short(sized.filter(F.col("_run_rows") <= SHORT_RUN), cap_s)
+    cuts = short.select("camera_id", F.explode("_walk.cuts").alias("_c")).select("camera_id", "_c.recording_key", "_c._asked")
+    last = short.select("camera_id", "_run", F.col("_walk.held").alias("_last_held"))
+    long = sized.filter(F.col("_run_rows") > SHORT_RUN).drop("_run_rows")
+    if totals.filter((F.col("_run_total") > cap_s) & (F.col("_run_rows") > SHORT_RUN)).isEmpty():
+        return cuts, last
+    more_cuts, more_last = _jump_long(long, cap_s)
+    return cuts.unionByName(more_cuts), last.unionByName(more_last)
+
+
+def _fold_short(rows: DataFrame, cap_s: int) -> DataFrame:
+    """Runs of bounded length with ``_walk``: the total held at the end and the cuts on the way."""
+    ordered = rows.groupBy("camera_id", "_run").agg(
+        F.array_sort(F.collect_list(F.struct("start_s", "recording_key", "_added"))).alias("_rows")
+    )
+    first = F.element_at("_rows", 1)
+    none = F.slice(F.transform("_rows", lambda x: F.struct(x["recording_key"].alias("recording_key"), x["_added"].alias("_asked"))), 1, 0)
+
+    def step(acc: Column, x: Column) -> Column:
+        want = acc["held"] + x["_added"]
+        cut = F.struct(x["recording_key"].alias("recording_key"), want.alias("_asked"))
+        return F.struct(
+            F.when(want > cap_s, x["_added"]).otherwise(want).alias("held"),
+            F.when(want > cap_s, F.concat(acc["cuts"], F.array(cut))).otherwise(acc["cuts"]).alias("cuts"),
+        )
+
+    begin = F.struct(first["_added"].alias("held"), none.alias("cuts"))
+    return ordered.select("camera_id", "_run", F.aggregate(F.slice("_rows", 2, SHORT_RUN), begin, step).alias("_walk"))
+
+
+def _jump_long(rows: DataFrame, cap_s: int) -> tuple[DataFrame, DataFrame]:
+    """Cuts and last totals of long runs, by pointers that are doubled until none is left."""
     run = ["camera_id", "_run"]
-    kept = [f for f in rows.schema.fields if f.name != "_added"]
-    schema = T.StructType(kept).add("_cut", T.BooleanType()).add("_asked", T.LongType()).add("_held", T.LongType())
-    ordered = rows.repartition(*run).sortWithinPartitions(*run, "start_s", "recording_key")
-    return ordered.groupBy(*run).applyInPandas(_walker(cap_s), schema)
-
-
-def _walker(cap_s: float):
-    """Greedy walk over one parking run, in order, one batch at a time."""
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen = 0, False
-        for batch in batches:
-            cuts, asked, kept = [], [], []
-            for step in batch["_added"]:
-                want = held + step
-                cut = seen and want > cap_s
-                held, seen = (step if cut else want), True
-                cuts.append(cut)
-                asked.append(want)
-                kept.append(held)
-            yield batch.drop(columns="_added").assign(_cut=cuts, _asked=asked, _held=kept)
-
-    return walk
+    order = ["start_s", "recording_key"]
+    chunk = spread("start_s", DAY_S)
+    was = F.struct("_added")
+    placed = scan(rows, run, order, chunk, prev={"_was": was}, total={"_sum": F.col("_added")}, number="_no")
+    # a trip can only begin at the first row, where time is added, or behind a row that exceeds the cap by itself
+    behind = F.coalesce(F.col("_was._added") > cap_s, F.lit(False))
+    placed = settle(placed.filter((F.col("_no") == 1) | (F.col("_added") > 0) | behind).drop("_was"), "parking-long")
+    # the next cut: the first row whose sum exceeds the cap and what lay before this one
+    before = F.col("_sum") - F.col("_added")
+    asking = placed.select(*run, "_no", before.alias("_before"), (before + cap_s).alias("_limit"), (F.col("_added") > cap_s).alias("_alone"))
+    sums = placed.filter("_added > 0").select(*run, F.col("_sum").alias("_limit"), F.col("_no").alias("_to"), "_sum")
+    met = bracket(
+        asking.filter("NOT _alone"), sums, run, "_limit", ["_to", "_sum"], spread("_at", max(1, cap_s)), tie="_to", after="_hit",
+    ).select(*run, "_no", "_before", F.col("_hit._to").alias("_to"))
+    alone = asking.filter("_alone").select(*run, "_no", "_before", (F.col("_no") + 1).alias("_to"))
+    final = placed.groupBy(*run).agg(F.max("_no").alias("_top"), F.max("_sum").alias("_total"))
+    ends = final.select(*run, "_top")
+    # a row that exceeds the cap by itself has no row behind it at the end of the run
+    steps = met.unionByName(alone).join(ends, run).select(*run, "_no", "_before", F.when(F.col("_to") <= F.col("_top"), F.col("_to")).alias("_to"))
+    steps = settle(steps, "parking-steps")
+    jump = steps.filter("_to IS NOT NULL").select(*run, "_no", "_to")
+    starts = ends.select(*run, F.lit(1).cast("bigint").alias("_no"))
+    while not jump.isEmpty():
+        reached = starts.join(jump, [*run, "_no"]).select(*run, F.col("_to").alias("_no"))
+        starts = settle(starts.unionByName(reached), "parking-starts")
+        onward = jump.select(*run, F.col("_no").alias("_to"), F.col("_to").alias("_then"))
+        jump = settle(jump.join(onward, [*run, "_to"]).select(*run, "_no", F.col("_then").alias("_to")), "parking-jumps")
+    begun = starts.join(steps, [*run, "_no"])
+    at = placed.select(*run, F.col("_no").alias("_to"), "recording_key", "_sum")
+    cuts = begun.join(at, [*run, "_to"]).select("camera_id", "recording_key", (F.col("_sum") - F.col("_before")).alias("_asked"))
+    last = begun.filter("_to IS NULL").join(final, run).select(*run, (F.col("_total") - F.col("_before")).alias("_last_held"))
+    return cuts, last
 
 
 def _gap_text() -> Column:
