@@ -181,3 +181,23 @@ def test_feed_objects_over_many_chunks(spark):
     whole = telemetry_files.stitched(rows, ["camera_id"], ["seq"], F.floor(F.col("seq") / 3))
     got = [(r.seq, r.sensor, r.lat, r.upper_lower) for r in telemetry_files.live_readings(whole).orderBy("seq").collect()]
     assert got == [(3, "gps", 1.5, None), (7, "3g", None, 3.0)]
+
+
+def test_camera_files_source_opens_only_what_is_asked_for(spark, tmp_path):
+    from wayline.sources import camera_files
+
+    rows = [(f"cam{c}", f"rec{i}", f"{c}-{i}".encode()) for c in range(3) for i in range(4)] + [("cam1", "empty", b"")]
+    root = str(tmp_path / "cams")
+    camera_files.write_files(spark.createDataFrame(rows, "camera_id STRING, recording_id STRING, content BINARY"), root, ".gps")
+    (tmp_path / "cams" / "cam1" / "rec1.3gf").write_bytes(b"other")
+    (tmp_path / "cams" / "note.gps").write_text("no camera")
+    every = registry.camera_logs(spark, root, ".gps")
+    assert sorted((r.camera_id, r.recording_id, bytes(r.content)) for r in every.collect()) == sorted(rows)
+    assert every.filter("size = 0").count() == 1
+    asked = every.filter("camera_id = 'cam1' AND recording_id >= 'rec2'")
+    assert sorted(r.recording_id for r in asked.collect()) == ["rec2", "rec3"]
+    reader = camera_files.CameraFilesReader({"path": root, "ending": ".gps", "partitionBytes": "1"})
+    left = list(reader.pushFilters([camera_files.EqualTo(("camera_id",), "cam1"), camera_files.In(("recording_id",), ("rec2", "rec3", "x")), camera_files.EqualTo(("size",), 3)]))
+    assert [f.attribute for f in left] == [("size",)]
+    assert [row[1:3] for part in reader.partitions() for row in part.rows] == [("cam1", "rec2"), ("cam1", "rec3")]
+    assert registry.gps_logs(spark, root).filter("camera_id = 'cam2'").count() == 0

@@ -223,3 +223,30 @@ def test_one_parking_run_of_a_million_rows(spark):
         else:
             held += step
     assert sorted(got) == want and len(want) > 900
+
+
+def test_zoned_interval_build_equals_full_build_and_reads_less(spark, tmp_path):
+    base, rng, rows = 1704067200, random.Random(9), []
+    for camera in range(5):
+        at = 0
+        for i in range(300):
+            at += rng.choice([30, 60, 200, 9000, 90_000 if camera % 2 else 250])
+            rows.append((camera, i, None, base + at, "N", rng.choice([None, 30, 200]), 1, rng.random() > 0.02))
+    df = spark.createDataFrame(rows, SCHEMA)
+    stamp = F.date_format(F.timestamp_seconds("start_s"), "yyyyMMdd_HHmmss")
+    df = df.withColumn("recording_id", F.concat(stamp, F.lit("_N"))).withColumn("date", F.substring("recording_id", 1, 8))
+    place = str(tmp_path / "dated")
+    df.repartition("date").write.partitionBy("date").parquet(place)
+    table = spark.read.schema(df.schema).parquet(place)
+    zones = trips.day_zones(table)
+    key = ["camera_id", "recording_key"]
+    days = table.select("date").distinct().count()
+    for a, b in (("20240107", "20240108"), ("20240103", "20240103"), ("20230101", "20230102"), ("20240120", "202402")):
+        span = ids.interval(since=a, until=b)
+        full = sorted(tuple(r) for r in trips.touching(trips.detect(df), span).select(key).collect())
+        part = sorted(tuple(r) for r in trips.detect_zoned(table, zones, span).select(key).collect())
+        assert full == part
+    wanted = [r[0] for r in trips.days_of_interval(zones, ids.interval(since="20240107", until="20240108")).select("date").distinct().collect()]
+    read = table.filter(F.col("date").between(min(wanted), max(wanted))).select(F.input_file_name().alias("f")).distinct().count()
+    assert 0 < len(wanted) < days / 2 and read < len(table.inputFiles()) / 2
+    assert trips.detect_zoned(table.limit(0), trips.day_zones(table.limit(0)), span).count() == 0

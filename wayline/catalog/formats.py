@@ -8,7 +8,7 @@ from ..functions import clock
 from ..operators import trajectory, trips
 from ..session import scratch_path
 from ..sinks import tables, tracks
-from ..sources import logs, telemetry_files
+from ..sources import camera_files, logs, registry, telemetry_files
 from .archive import _history_lines
 from .bindings import HOUR, SQL_FIXES, SQL_RECORDINGS, fixes, recordings
 from .registry import query
@@ -55,6 +55,27 @@ def gps_log_parsed(t):
     return r(r(out, 8, "lat", "lon"), 6, "speed_kmh")
 
 
+@query("adapter_gps_fixes", """
+WITH e AS (SELECT *, epoch_us(ts) // 1000 * 1000 AS us, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m') ORDER BY event_id) - 1 AS nth,
+  last_value(event_id % 70) OVER (PARTITION BY user_id, strftime(ts, '%Y%m'), epoch_us(ts) // 1000 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS h FROM events)
+SELECT CAST(user_id AS VARCHAR) AS camera_id, strftime(ts, '%Y%m') AS recording_id, 2 * nth AS pos, make_timestamp(us) AS ts, event_id % 11 <> 0 AS valid,
+  round(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (59 + round(event_id * 37 % 6000 / 100.0::DOUBLE, 4) / 60), 8) AS lat,
+  round(-(18 + round(event_id * 91 % 6000 / 100.0::DOUBLE, 4) / 60), 8) AS lon,
+  CASE WHEN event_id % 5 <> 0 THEN round(value * 1.852::DOUBLE, 6) END AS speed_kmh, NULL::DOUBLE AS course, CAST(h AS DOUBLE) AS altitude_m FROM e
+UNION ALL SELECT CAST(user_id AS VARCHAR), strftime(ts, '%Y%m'), 2 * nth + 1, make_timestamp(5000000), true, NULL, NULL, NULL, 12.5, NULL FROM e
+""")
+def adapter_gps_fixes(t):
+    """One log file a camera and month, written and read back through the adapter's data source."""
+    logs = _nmea(t).join(t.events.select("event_id", "user_id", F.date_format("ts", "yyyyMM").alias("month")), "event_id")
+    files = logs.groupBy(F.col("user_id").alias("camera_id"), F.col("month").alias("recording_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "text"))), lambda x: x["text"]), "").alias("content")
+    )
+    root = scratch_path(t.spark, "cameras")
+    camera_files.write_files(files, root, ".gps")
+    out = registry.gps_logs(t.spark, root).drop("ts_us")
+    return r(r(out, 8, "lat", "lon"), 6, "speed_kmh")
+
+
 @query("gsensor_file_parsed", """
 SELECT vec_id, k AS pos, 70000 + k * 100 AS offset_ms,
   CAST(floor(CAST(embedding[k + 1] AS DOUBLE) * 3000) AS INTEGER) AS x, CAST(-k AS INTEGER) AS y, CAST(vec_id % 30000 AS INTEGER) AS z

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import movement, trips
+from ..session import scratch_path, settle
 from .bindings import (
     HOUR, SQL_DAY_RECORDINGS, SQL_DAY_SAMPLES, SQL_FIXES, SQL_RECORDINGS,
     day_recordings, day_samples, fixes, recordings,
@@ -165,9 +166,18 @@ hit AS (SELECT DISTINCT camera_id, trip_no FROM numbered
 SELECT camera_id, recording_key FROM numbered SEMI JOIN hit USING (camera_id, trip_no)
 """)
 def touching_interval_pruned(t):
-    dated = _reliable(recordings(t)).withColumn("date", F.substring("recording_id", 1, 8))
-    kept = trips.detect_interval(dated, SPAN, max_gap_s=GAP)
-    return kept.select("camera_id", "recording_key")
+    """From a table partitioned by date, of which only the days of these trips are read."""
+    table, zones = dated_table(t)
+    return trips.detect_zoned(table, zones, SPAN, max_gap_s=GAP).select("camera_id", "recording_key")
+
+
+def dated_table(t):
+    """Recordings written by date, and their zones, as an archive keeps them."""
+    dated = _reliable(recordings(t)).select(*trips.NEEDED, "camera_id", F.substring("recording_id", 1, 8).alias("date"))
+    place = scratch_path(t.spark, "by-date")
+    dated.repartition("date").write.partitionBy("date").parquet(place)
+    table = t.spark.read.schema(dated.schema).parquet(place)
+    return table, settle(trips.day_zones(table), "day-zones")
 
 
 @query("recordings_before_events", f"""

@@ -6,7 +6,7 @@ from calendar import monthrange
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -425,6 +425,64 @@ def detect_interval(
     return kept
 
 
+def day_zones(recordings: DataFrame, date_column: str = "date") -> DataFrame:
+    """One row per camera and day, kept beside a table partitioned by date: what trips need to know of a day unread.
+
+    ``first_s`` and ``end_s`` bound the day, ``opens`` and ``closes`` say whether its first and last time can be trusted,
+    ``widest_s`` is the longest pause inside, ``doubtful`` whether a time inside breaks a trip. Thresholds come later.
+    """
+    day = Window.partitionBy("camera_id", date_column).orderBy(*ORDER)
+    end = F.col("start_s") + F.coalesce("duration_s", F.lit(0))
+    at = F.struct(*ORDER)
+    inner = recordings.select(
+        "camera_id", date_column, *ORDER, "timestamp_reliable", end.alias("_end"),
+        (F.col("start_s") - F.lag(end).over(day)).alias("_gap"),
+        (F.lag("timestamp_reliable").over(day).isNotNull() & ~(F.col("timestamp_reliable") & F.lag("timestamp_reliable").over(day))).alias("_doubt"),
+    )
+    return inner.groupBy("camera_id", date_column).agg(
+        F.min("start_s").alias("first_s"), F.max_by("_end", at).alias("end_s"), F.min_by("timestamp_reliable", at).alias("opens"),
+        F.max_by("timestamp_reliable", at).alias("closes"), F.max("_gap").alias("widest_s"),
+        F.coalesce(F.bool_or("_doubt"), F.lit(False)).alias("doubtful"),
+    )
+
+
+def days_of_interval(
+    zones: DataFrame, interval: Interval, *, max_gap_s: float = MAX_GAP_S, tolerance_s: float = GAP_TOLERANCE_S, date_column: str = "date",
+) -> DataFrame:
+    """(camera_id, date) that hold the trips of the days of ``interval``, from their first recording to their last.
+
+    Trips are counted over the days of a camera, at most two to a day: the one that comes in and the one that goes out.
+    A day is wanted if it has a part in a trip of the interval's days."""
+    threshold = max_gap_s + tolerance_s
+    by_day = Window.partitionBy("camera_id").orderBy(date_column)  # one row a day
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = F.col("opens") & F.lag("closes").over(by_day) & (F.col("first_s") - F.lag("end_s").over(by_day) <= threshold)
+    parts = F.when(F.col("doubtful") | (F.col("widest_s") > threshold), 1).otherwise(0)
+    days = zones.withColumns({"_new": F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1), "_parts": parts})
+    days = days.withColumn("_out", F.sum(F.col("_new") + F.col("_parts")).over(so_far)).withColumn("_in", F.col("_out") - F.col("_parts"))
+    whole = Window.partitionBy("camera_id")
+    asked = F.col(date_column).between(*(_real_day(d) for d in interval.dates))
+    days = days.withColumns({"_lo": F.min(F.when(asked, F.col("_in"))).over(whole), "_hi": F.max(F.when(asked, F.col("_out"))).over(whole)})
+    return days.filter((F.col("_out") >= F.col("_lo")) & (F.col("_in") <= F.col("_hi"))).select("camera_id", date_column)
+
+
+def detect_zoned(
+    recordings: DataFrame, zones: DataFrame, interval: Interval, *, date_column: str = "date", max_gap_s: float = MAX_GAP_S,
+    tolerance_s: float = GAP_TOLERANCE_S,
+) -> DataFrame:
+    """``touching(detect(...))`` that reads just the days the trips of the interval lie on, by the ``zones`` of the table.
+
+    For the gap and unreliable-time rules; rules of the caller's own need ``detect_interval``.
+    """
+    days = settle(
+        days_of_interval(zones, interval, max_gap_s=max_gap_s, tolerance_s=tolerance_s, date_column=date_column), "interval-days"
+    )
+    span = days.agg(F.min(date_column).alias("a"), F.max(date_column).alias("b")).first()  # two dates
+    kept = recordings.filter(F.col(date_column).between(span.a, span.b)) if span.a is not None else recordings.filter(F.lit(False))
+    kept = kept.join(days, ["camera_id", date_column], "left_semi")
+    return touching(detect(kept, max_gap_s=max_gap_s, tolerance_s=tolerance_s), interval)
+
+
 def _real_day(text: str) -> str:
     """Nearest calendar day of a padded bound such as 20240100 or 20240199."""
     year, month = int(text[:4]), min(max(int(text[4:6]), 1), 12)

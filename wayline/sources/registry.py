@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, ids
-from . import catalogue, telemetry_files
+from . import camera_files, catalogue, telemetry_files
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,18 @@ def timed(recordings: DataFrame, durations: DataFrame | None = None) -> DataFram
     return out.join(durations, ["camera_id", "recording_id"], "left")
 
 
+def camera_logs(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """Files of ``root/<camera>/`` with an ending, through the data source: filters on names reach its listing."""
+    camera_files.register(spark)
+    return spark.read.format("camera_files").option("ending", ending).load(root)
+
+
+def gps_logs(spark: SparkSession, root: str) -> DataFrame:
+    """Fixes of all GPS logs below ``root``."""
+    files = camera_logs(spark, root, ".gps").select("camera_id", "recording_id", F.col("content").cast("string").alias("text"))
+    return telemetry_files.gps_fixes(files)
+
+
 @register("dashcam")
 def dashcam(spark: SparkSession, root: str) -> Archive:
     """``root/<camera>/<recording files>`` with GPS, g-sensor, duration and setting files beside the videos.
