@@ -176,4 +176,13 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_different_texts_that_share_an_id_are_different_documents(spark, frame):
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(reversed(words))
+    rows = [(5, one), (5, two), (5, one), (7, one + " more"), (None, two), (None, "quite another text of seven words"), (None, None), (9, "")]
+    out = corpus_pipeline.near_dedup(spark, frame(rows), SMALL).collect()
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in out)
+    assert got == sorted([("5", one), ("5", two), ("None", "quite another text of seven words"), ("None", "None"), ("9", "")])

@@ -131,3 +131,13 @@ def test_chunks_reach_the_end():
     # one chunk of prose, one and a half of noise, so most of the chunks are bad
     noise = rng.integers(0, 256, compression.CHUNK + 900, dtype=np.uint8).tobytes()
     assert compression.compression_verdict(prose[:2048] + noise, packer)[2:] == (3, 2)
+
+
+def test_more_languages_than_one_mask_holds(spark, frame):
+    letters = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋ"
+    assert len(letters) > 70
+    docs = [(i * 3 + k, f"{c}{c}{letters[(i + 1) % 26]} {c}{letters[i % 7]}{c} " * 30, f"l{i:03d}") for i, c in enumerate(letters) for k in range(3)]
+    masks = langmask.fit(frame(docs))
+    assert len(masks.languages) == len(letters) > langmask.MASK and len(masks.masks) == 2
+    got = {r["doc_id"]: r["lang_pred"] for r in langmask.identify(frame(docs), masks).collect()}
+    assert sum(got[i] == lang for i, _, lang in docs) >= 0.95 * len(docs)

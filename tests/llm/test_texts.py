@@ -85,7 +85,7 @@ def test_line_frequency(spark):
     bare = lambda x: x.strip(" \t\r\f\x0b")
     pages = Counter(h for _, h, _, _ in rows)
     held = Counter((h, x) for _, h, t, _ in rows if t is not None for x in {bare(y) for y in t.split("\n")} if x)
-    bad = {k for k, n in held.items() if k[0] and pages[k[0]] >= 20 and n > 0.1 * pages[k[0]]}
+    bad = {k for k, n in held.items() if k[0] and n >= 3 and n > 0.1 * pages[k[0]]}
     want = sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (h, bare(x)) not in bad)) for i, h, t, _ in rows)
     got = line_frequency.drop_lines(docs, counts=("n", "gone"))
     assert got.columns == [*docs.columns, "n", "gone"]
@@ -167,3 +167,27 @@ def test_suffix_levels(spark, frame, monkeypatch):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
         assert [got[i] for i in range(len(texts))] == want
     assert suffix_index.deduplicate(frame([(1, "a")]).where("false")).count() == 0
+
+
+def test_support_of_a_line_decides_not_the_size_of_its_host(spark):
+    rows = []
+    for host, pages in (("two", 2), ("three", 3), ("nineteen", 19), ("twenty", 20), ("thirty", 30)):
+        rows += [(host, i, "\n".join((["footer"] if i < 3 else []) + (["often"] if i < 4 else []) + [f"own {i}"])) for i in range(pages)]
+    docs = spark.createDataFrame(rows, "source string, n long, text string").repartition(3)
+    got = {(r["source"], r["n"]): r["text"] for r in line_frequency.drop_lines(docs).collect()}
+    for host, i, text in rows:
+        lines = text.split("\n")
+        pages = sum(r[0] == host for r in rows)
+        support = {x: sum(r[0] == host and x in r[2].split("\n") for r in rows) for x in lines}
+        assert got[host, i] == "\n".join(x for x in lines if not (support[x] >= 3 and support[x] > 0.1 * pages))
+    assert got["nineteen", 0] == "own 0" and got["twenty", 0] == "own 0" and got["two", 0].startswith("footer")
+    assert got["thirty", 0] == "footer\nown 0"
+
+
+def test_suffix_levels_ids_of_any_sign_and_the_text_that_is_left(spark, frame):
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh é", k=500))
+    docs = [(-1, "x" + passage), (None, passage + "y"), (0, "left alone"), (-(2**62), None)]
+    rows = {r["doc_id"]: r for r in suffix_index.deduplicate(frame(docs), digest=True).collect()}
+    assert rows.keys() == {-1, None, 0, -(2**62)}
+    assert (rows[-1]["kept_text"], rows[None]["kept_text"], rows[0]["kept_text"], rows[-(2**62)]["kept_text"]) == ("x", "y", "left alone", "")

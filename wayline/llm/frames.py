@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.session import settle
+
 
 def col(name: str) -> Column:
     """Column by its plain name, also when the name holds dots or backticks."""
@@ -41,6 +43,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """``df`` written in ``order`` over its partitions, with a number that ascends along it and is no other row's."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(placed.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 def map_columns(
     df: DataFrame, fn: Callable[[list], Iterator[tuple[list, ...]] | tuple[list, ...]], schema: str
 ) -> DataFrame:

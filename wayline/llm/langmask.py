@@ -27,10 +27,11 @@ from wayline.session import settle
 
 ORDERS = (2, 4)
 UNKNOWN = "und"
-#: Bounds of the fit: expected labelled rows and stored n-grams for each language; languages fit in a mask.
+#: Bounds of the fit: expected labelled rows and stored n-grams for each language.
 SAMPLE_ROWS = 2_000
 GRAMS_PER_LANGUAGE = 60_000
-MAX_LANGUAGES = 64
+#: Languages of one mask; more take further masks, one array each.
+MASK = 64
 #: Least share of an n-gram in a language, against its largest share in any.
 CONTRAST = 0.3
 #: Slots of the filter, 8 bytes each; two hash functions.
@@ -100,22 +101,24 @@ class LanguageMasks:
     """Filter with one mask per slot, its languages, and each language's false-positive rate."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false_rate: np.ndarray
 
     @classmethod
     def build(cls, kept: dict[str, np.ndarray], slots: int = SLOTS) -> LanguageMasks:
         """``kept``: hashes of the n-grams of each language; the first of its languages win ties."""
         languages = list(kept)
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
-        width = next(t for t in (8, 16, 32, 64) if t >= max(1, len(languages)))
-        masks = np.zeros(slots, f"uint{width}")
-        for bit, lang in enumerate(languages):
-            for at in _slots(kept[lang].astype(np.uint64), slots):
-                masks[np.unique(at)] |= masks.dtype.type(1 << bit)
-        fill = np.array([np.count_nonzero(masks & masks.dtype.type(1 << b)) for b in range(len(languages))]) / slots
-        return cls(languages, masks, fill**2)
+        masks, fill = [], []
+        for first in range(0, max(1, len(languages)), MASK):
+            some = languages[first : first + MASK]
+            width = next(t for t in (8, 16, 32, 64) if t >= max(1, len(some)))
+            mask = np.zeros(slots, f"uint{width}")
+            for bit, lang in enumerate(some):
+                for at in _slots(kept[lang].astype(np.uint64), slots):
+                    mask[np.unique(at)] |= mask.dtype.type(1 << bit)
+            masks.append(mask)
+            fill += [np.count_nonzero(mask & mask.dtype.type(1 << b)) / slots for b in range(len(some))]
+        return cls(languages, masks, np.array(fill) ** 2)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of each text, and how many of them carry each language's bit."""
@@ -123,11 +126,12 @@ class LanguageMasks:
         hits = np.zeros((len(texts), len(self.languages)), np.int64)
         for owner, h in grams(texts):
             n += np.bincount(owner, minlength=len(texts))
-            one, two = _slots(h, len(self.masks))
-            found = self.masks[one] & self.masks[two]
-            for bit in range(len(self.languages)):
-                with_bit = (found >> found.dtype.type(bit)) & found.dtype.type(1)
-                hits[:, bit] += np.bincount(owner, weights=with_bit, minlength=len(texts)).astype(np.int64)
+            one, two = _slots(h, len(self.masks[0]))
+            for number, mask in enumerate(self.masks):
+                found = mask[one] & mask[two]
+                for bit in range(min(MASK, len(self.languages) - number * MASK)):
+                    with_bit = (found >> found.dtype.type(bit)) & found.dtype.type(1)
+                    hits[:, number * MASK + bit] += np.bincount(owner, weights=with_bit, minlength=len(texts)).astype(np.int64)
         return n, hits
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -174,12 +178,10 @@ def fit(
     """Learn from about ``rows`` labelled rows of each language (all, where there are fewer).
 
     Rows are drawn by a hash of their text, so the draw is the same on every run. What reaches the driver is
-    bounded: ``grams_per_language`` hashes for each of at most 64 languages.
+    bounded by the languages: a row and ``grams_per_language`` hashes for each.
     """
     rows_of = pick(labelled, text=text, lang=lang).where("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in rows_of.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in rows_of.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return LanguageMasks.build({})
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
@@ -202,7 +204,7 @@ def fit(
 def identify(docs: DataFrame, masks: LanguageMasks, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row; the prediction sees the text alone."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(masks)  # at most SLOTS * 8 bytes
+    shared = spark.sparkContext.broadcast(masks)  # SLOTS * 8 bytes for each 64 languages
 
     def label(columns: list) -> tuple[list, ...]:
         names, score = shared.value.predict(columns[1].to_pylist())
@@ -214,7 +216,7 @@ def identify(docs: DataFrame, masks: LanguageMasks, *, key: str = "doc_id", text
 
 def keep_known(docs: DataFrame, masks: LanguageMasks, *, text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is known, with a score of at least ``least``; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(masks)  # at most SLOTS * 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(masks)  # SLOTS * 8 bytes for each 64 languages
     place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

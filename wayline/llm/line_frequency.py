@@ -1,8 +1,8 @@
 """Line dedup by how many pages of a site carry a line.
 
 Lines are compared without surrounding blanks. A line that stands on more than ``ratio`` of a host's pages is
-boilerplate there and is dropped from all of them, on hosts of at least ``min_pages`` pages; elsewhere the same
-line stays. Each row is one page, repeated rows included.
+boilerplate there and is dropped from all of them, if at least ``least`` of them carry it: the support of a line decides,
+whatever the size of its host. Each row is one page, repeated rows included.
 
 Only counts are shuffled by line (a hash of 64 bits stands for it, and two lines are confused only on one host).
 What exceeds the ratio is short: a host has at most (mean lines of its pages) / ratio such lines. That list
@@ -22,7 +22,7 @@ from wayline.llm.frames import col, unused
 from wayline.session import settle
 
 RATIO = 0.1
-MIN_PAGES = 20
+LEAST = 3
 SALTS = 64
 BLANKS = " \t\r\f\x0b"
 
@@ -36,25 +36,25 @@ def _hashes(text: Column) -> Column:
     return F.transform(lines_of(text), lambda x: F.when(F.trim(x, F.lit(BLANKS)) != "", F.xxhash64(F.trim(x, F.lit(BLANKS)))))
 
 
-def boilerplate(docs: DataFrame, *, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, *, host: str, text: str, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """(host, lines): hashes of the lines that exceed the ratio on their host."""
     rows = docs.select(col(host).alias("host"), col(text).alias("text")).where("host is not null")
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    pages = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
     seen = F.filter(F.array_distinct(_hashes(F.col("text"))), lambda x: x.isNotNull())
     counts = rows.select("host", F.explode(seen).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("n") > ratio * min_pages).join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
+    often = counts.where(F.col("n") >= least).join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_lines(
-    docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST,
     counts: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``docs`` without boilerplate lines, in its own columns.
 
     ``counts`` names two further columns: how many lines a text had, and how many were dropped.
     """
-    found = settle(boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
+    found = settle(boilerplate(docs, host=host, text=text, ratio=ratio, least=least), "boilerplate")
     at, bad, salts, own, left_over = unused(docs, "_host", "_bad", "_salt", "_own_salt", "_kept")
     salted = found.select(F.col("host").alias(at), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salts))
     salt = F.pmod(F.xxhash64(col(host), col(text)) + F.monotonically_increasing_id() % 1_000_003, F.lit(SALTS)).cast("int")
@@ -97,7 +97,7 @@ def line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return drop_lines(settle(texts, "page-texts"), host="host", counts=("n_lines", "n_dropped"))
 
 
-def documents_sql(source: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
+def documents_sql(source: str, ratio: float = RATIO, least: int = LEAST) -> str:
     """SELECT of (page_id, host, text, n_lines, n_dropped) from a relation with page_id, host and text."""
     bare = "trim(l, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
     return f"""
@@ -114,7 +114,7 @@ def documents_sql(source: str, ratio: float = RATIO, min_pages: int = MIN_PAGES)
                   FROM (SELECT host, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda l: {bare}))) AS line FROM {source})
                   WHERE line <> '' GROUP BY host, line) c
             JOIN (SELECT host, count(*) AS pages FROM {source} GROUP BY host) p ON c.host = p.host
-            WHERE p.pages >= {min_pages} AND c.n > {ratio}::DOUBLE * p.pages
+            WHERE c.n >= {least} AND c.n > {ratio}::DOUBLE * p.pages
             GROUP BY c.host
         ) b ON d.host = b.host"""
 

@@ -14,7 +14,8 @@ gathered; there the bytes before and after the anchor are matched first, which l
 
 Results for odd input: null texts are empty; texts shorter than ``SPAN`` lose nothing; repeated rows are copies and
 lose everything from ``SPAN`` bytes on; strings that overlap themselves count; extra columns are ignored; an empty table gives
-no rows. Rows may share an id if their texts differ. Texts are read whole, a million strings at a time.
+no rows. Rows may share an id if their texts differ (of 32768 such pairs one is confused, whose texts then share their spans); the id
+-2^63 means none. Texts are read whole, a million strings at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from wayline.llm.frames import map_columns, pick
 from wayline.session import settle
 
+#: Stands for a missing id inside; no row may have it.
+NO_ID = -(1 << 63)
 SPAN = 400
 SEED = 32
 BATCHES = 3
@@ -136,7 +139,7 @@ def _entry_rows(columns: list) -> Iterator[tuple[list, ...]]:
         data = text.as_py() or b""
         first, last, left, seed, whole = entries(data)
         if len(first):
-            for part, value in zip(held, (seed, whole, np.full(len(first), -1 if key is None else key), _place(first, last, left, _tag(data)))):
+            for part, value in zip(held, (seed, whole, np.full(len(first), NO_ID if key is None else key), _place(first, last, left, _tag(data)))):
                 part.append(value)
             size += len(first)
         if size > 100_000:
@@ -230,7 +233,7 @@ class SuffixIndex:
 def _pack_text(columns: list) -> tuple[list, ...]:
     packer = zstandard.ZstdCompressor(level=3)
     data = [x.as_py() or b"" for x in columns[1]]
-    return [-1 if k is None else k for k in columns[0].to_pylist()], [_tag(x) for x in data], [packer.compress(x) for x in data]
+    return [NO_ID if k is None else k for k in columns[0].to_pylist()], [_tag(x) for x in data], [packer.compress(x) for x in data]
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -379,20 +382,23 @@ def _remove(columns: list) -> tuple[list, ...]:
         bounds = [0, *(x for span in merged for x in span), len(data)]
         kept.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
         spans.append([{"start": a, "end": b} for a, b in merged])
-    return [None if k == -1 else k for k in columns[0].to_pylist()], kept, spans
+    return [None if k == NO_ID else k for k in columns[0].to_pylist()], kept, spans
 
 
 def _digest(columns: list) -> tuple[list, ...]:
     ids, kept, spans = _remove(columns)
     removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
-    return ids, [len(k) + r for k, r in zip(kept, removed)], removed, [len(s) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept]
+    return (
+        ids, [len(k) + r for k, r in zip(kept, removed)], removed, [len(s) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept],
+        [k.decode(errors="replace") for k in kept],
+    )
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batches: int = BATCHES, digest: bool = False) -> DataFrame:
     """(doc_id, kept, spans): the bytes that are left of every row, and the ranges that were removed.
 
-    ``batches``: the documents arrive in so many parts, by a hash of their id. ``digest`` gives counts and a
-    checksum in place of the bytes.
+    ``batches``: the documents arrive in so many parts, by a hash of their id. ``digest`` gives counts, a
+    checksum and the text of what is left; half a letter left at a cut shows as U+FFFD.
     """
     rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     index = SuffixIndex()
@@ -402,7 +408,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bat
     spans = settle(removed_spans(rows, index.covered()), "spans")
     met = packed_texts(rows).join(spans, ["doc_id", "tag"], "left").select("doc_id", "packed", "spans")
     if digest:
-        return map_columns(met, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return map_columns(met, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return map_columns(met, _remove, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
 
 
