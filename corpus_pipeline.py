@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import langmask, line_frequency, packing, personal_data, setsketch
+from wayline.llm.frames import col, number_rows, unused
 from wayline.session import settle
 
 #: Texts below this share of recognised n-grams are in no language known here.
@@ -33,10 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; rows without an id stay."""
-    kept = setsketch.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id (rows without an id stand last).
+
+    Rows are told apart by a number of their own, so different texts that share an id are different documents."""
+    (own,) = unused(docs, "_row")
+    text = col("text")
+    numbered = number_rows(docs, [col("doc_id").asc_nulls_last(), F.xxhash64(text), text], own, "numbered")
+    kept = setsketch.near_duplicates(numbered, key=own).where("kept").select(F.col("doc_id").alias(own))
+    return numbered.join(kept, own, "left_semi").select(*map(col, docs.columns))
 
 
 def personal_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
