@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a number of their own, so different texts that share an id are different documents."""
     (own,) = unused(docs, "_row")
-    text = col("text")
-    numbered = number_rows(docs, [col("doc_id").asc_nulls_last(), F.xxhash64(text), text], own, "numbered")
+    # the order is sampled on the driver, so it is kept to two numbers a row
+    numbered = number_rows(docs, [col("doc_id").asc_nulls_last(), F.xxhash64(col("text"))], own, "numbered")
     kept = setsketch.near_duplicates(numbered, key=own).where("kept").select(F.col("doc_id").alias(own))
     return numbered.join(kept, own, "left_semi").select(*map(col, docs.columns))
 
