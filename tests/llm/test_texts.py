@@ -44,20 +44,65 @@ def test_base_spans(spark, frame):
         assert r["spans"] == r["base"]
 
 
+def seeded(n):
+    """Documents with a base span of every kind in each."""
+    cards = [f"4{i:014d}" for i in range(n)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in cards]
+    return [(i, f"call us +1 ({200 + i}) 555-{1000 + i} or write to n{i}.x@mail.example.com now, card {cards[i]} at 10.{i}.7.{i + 3} end") for i in range(n)]
+
+
+ADDED = [
+    ("email", "write jo.doe (at) mail (dot) example (dot) com now", "jo.doe (at) mail (dot) example (dot) com"),
+    ("email", "reach me[at]site[dot]org", "me[at]site[dot]org"),
+    ("ip", "host 2001:db8:1a2b:33cc:44dd:55ee:66ff:7788 up", "2001:db8:1a2b:33cc:44dd:55ee:66ff:7788"),
+    ("ip", "é addr fe80:12ab::9f3c:01de ok", "fe80:12ab::9f3c:01de"),
+    ("card", "card 4111.1111.1111.1111 please", "4111.1111.1111.1111"),
+    ("card", "pay 4012/8888/8888/1881 now", "4012/8888/8888/1881"),
+    ("phone", "call (212) 555-0142 today", "(212) 555-0142"),
+    ("phone", "phone 212-555-0142", "212-555-0142"),
+]
+ALIKE = [
+    "order no. 2125550142", "invoice 212-555-0142", "on 2021-03-04 we", "at 12:30:45:10 it", "#4111.1111.1111.1112", "costs 100 @ 20.50 each",
+    "id 99887-77665", "pages 12 13 14 15 16", "card 4111/1111/1111/1112", "order 55 of 12", "no digits",
+]
+
+
 def test_added_spans_and_redaction(spark, frame):
-    good = [(i, f"call us +1 ({200 + i}) 555-{1000 + i} or write to n{i}.x@mail.example.com now") for i in range(120)]
-    docs = frame([*good, (900, "write n.x (at) mail.example.com please"), (901, None), (902, "order 55 of 12")])
-    model = personal_data.fit(docs, precision=0.8)
+    good = seeded(120)
+    planted = [(500 + i, t) for i, (_, t, _) in enumerate(ADDED)]
+    alike = [(700 + i, t) for i, t in enumerate(ALIKE)]
+    docs = frame([*good, *planted, *alike, (901, None), (902, "")])
+    model = personal_data.fit(docs)
+    assert sorted(model.thresholds) == [0, 1, 2, 3]
     rows = {r["doc_id"]: r for r in personal_data.find(docs, model).collect()}
     for i, text in good:
         spans = [tuple(x) for x in rows[i]["spans"]]
         assert set(plain_spans(text)) <= set(spans) and spans == sorted(spans)
+    for (i, text), (kind, _, span) in zip(planted, ADDED, strict=True):
+        assert rows[i]["base"] == [] and [(personal_data.KINDS[x["k"]], text[x["s"] : x["e"]]) for x in rows[i]["spans"]] == [(kind, span)]
+    for i, text in [*alike, (901, None), (902, "")]:
+        assert rows[i]["spans"] == [], text
     named = docs.withColumnRenamed("score", "_spans")
     assert personal_data.redact(named, model).columns == named.columns
     clean = {r["doc_id"]: r["text"] for r in personal_data.redact(named, model).collect()}
-    assert clean[3] == "call us [PHONE] or write to [EMAIL] now" and clean[901] is None and clean[902] == "order 55 of 12"
+    assert clean[3] == "call us [PHONE] or write to [EMAIL] now, card [CARD] at [IP] end" and clean[901] is None
+    assert clean[500] == "write [EMAIL] now" and clean[506] == "call [PHONE] today" and clean[700] == ALIKE[0]
     assert personal_data.find(docs.where("false"), model).count() == 0
     assert personal_data.fit(docs.where("false")).thresholds == {}
+    assert personal_data.fit(frame([(1, None), (2, "a@b.cd")])).thresholds == {}
+
+
+def test_labels_are_bounded(frame):
+    few = personal_data.labelled(frame(seeded(60)), bound=5)
+    assert 0 < few.count() < personal_data.labelled(frame(seeded(60))).count()
+    assert few.count() == personal_data.labelled(frame(seeded(60)), bound=5).count()
+
+
+def test_long_lists_of_matches(spark):
+    for n in (1, 63, 64, 65, 127, 128, 129, 20_000):
+        text = "é " + "1.2.3.4 ü " * n
+        row = spark.createDataFrame([(text,)], "t string").select(personal_data.matches(F.col("t"), personal_data.BASE["ip"], personal_data.HINTS["ip"])).first()
+        assert [(x["s"], x["e"], x["t"]) for x in row[0]] == [(2 + 10 * i, 9 + 10 * i, "1.2.3.4") for i in range(n)]
 
 
 def test_trees_as_columns(spark):

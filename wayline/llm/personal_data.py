@@ -2,19 +2,23 @@
 
 Strict patterns give the base spans of four kinds. Generators then propose looser spans that may overlap each
 other and the base: addresses with blanks or spelled-out signs, dotted and colon-separated numbers, digit groups. A
-candidate is described by its format (length, digits, groups, separators) and its context (the signs around it,
-words before it). Boosted trees score it; they are fitted to whether a candidate holds a base span that passed
-its check (octets, check digit, digit count), none of which a feature shows. The fit sees counts of all
-candidates by feature vector, whose number the feature grid bounds, so the driver's share does not grow with the
-documents. Half of the candidates, by a hash of their text, fit the trees; the other half sets each generator's
-threshold: the least score from which on the wanted share of candidates is genuine. Candidates at or above it
-that touch no span already chosen are added, the longest first.
+candidate is described by its format (length, digits, groups, separators, whether its check holds) and its context
+(the signs around it, words before it). Boosted trees score it.
 
-Only DataFrame expressions touch the rows; the trees become one CASE expression.
+The trees learn from rewritten spans, so that what counts as genuine does not presuppose the base patterns. Up to
+``LABELLED`` base spans of each kind, those whose window has the least hash, are taken with the text around them and
+written anew in forms the base patterns miss (spelled-out signs, IPv6, cards with dots, phone numbers without plus)
+and in forms that look alike but are no personal data (order numbers, versions, dates, failing check digits, octets
+above 255); see ``rewritten``. The candidates of these windows are the labelled rows. Half of the windows, by hash, fit
+the trees; the other half sets each generator's threshold: the least score from which on the wanted share of candidates
+is genuine. In the documents, candidates at or above it that touch no span already chosen are added, the longest first.
+
+Only DataFrame expressions touch the rows; the trees become one CASE expression. The bound on the windows bounds what
+reaches the driver.
 
 Results for odd input: null and empty texts have no spans; overlapping candidates of equal length go to the earlier
-one; repeated rows each get a row; extra columns are ignored; an empty table gives no rows, and with no candidates nothing
-is added. Texts are searched whole, positions count code points.
+one; repeated rows each get a row; extra columns are ignored; an empty table gives no rows, and kinds with fewer than
+``LEAST_ROWS`` labelled candidates get no added spans. Texts are searched whole, positions count code points.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.frames import col, pick, unused
@@ -33,6 +37,12 @@ ROUNDS = 20
 DEPTH = 2
 RATE = 0.3
 LEAST_ROWS = 20
+#: Base spans of each kind that are rewritten into labelled rows.
+LABELLED = 2_000
+#: Code points of a window on either side of its span.
+AROUND = 24
+#: Matches whose places are added up at a time.
+STEP = 64
 
 #: Base patterns. A run of signs is taken whole and from its start (or from the end of the match before), which
 #: is where the leftmost match begins, so that long runs are not searched again from every sign.
@@ -57,7 +67,10 @@ GENERATORS = (
 #: What any span needs; most texts hold nothing of it and are passed over.
 ANY = r"[0-9@]|[(\[](?:at|AT)[)\]]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|addr)[a-z]*[ :.=-]*$"
+IPV6 = r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,6})$"
+DATE = r"^[(]?(?:(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]|[0-3]?[0-9][ .-][01]?[0-9][ .-](?:19|20)[0-9]{2})(?![0-9])"
+CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|addr|reach)[a-z]*[ :.=-]*$"
+DOUBTS = r"(?i)(?:\b(?:order|invoice|version|ver|v|rev|release|build|no|nr|ref|id|isbn|serial|sku|part|item|page|section|line|table|date)s?[ :.=#-]*|#)$"
 
 SPAN = "struct<k:int,s:int,e:int>"
 
@@ -88,18 +101,30 @@ def matches(text: Column, pattern: str, hint: str) -> Column:
 
     The text must be free of the marks U+0001 and U+0002.
     """
-    parts = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x02"), "\x01", -1)
+    hit = lambda at, t: F.struct(at.cast("int").alias("s"), (at + F.length(t)).cast("int").alias("e"), t.alias("t"))
     none = F.array().cast("array<struct<s:int,e:int,t:string>>")
 
     def step(state: Column, part: Column) -> Column:
-        found = F.substring_index(part, "\x02", 1)
-        start = state["at"]
-        hit = F.struct(start.alias("s"), (start + F.length(found)).cast("int").alias("e"), found.alias("t"))
-        return F.struct((start + F.length(part) - 1).cast("int").alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+        here = hit(state["at"], F.substring_index(part, "\x02", 1))
+        return F.struct((state["at"] + F.length(part) - 1).cast("int").alias("at"), F.concat(state["hits"], F.array(here)).alias("hits"))
+
+    def walk(some: Column, at: Column) -> Column:
+        return F.aggregate(some, F.struct(at.cast("int").alias("at"), none.alias("hits")), step, lambda state: state["hits"])
+
+    def walk_long(parts: Column) -> Column:
+        # arrays grow by copying, so a long list is walked in pieces whose starts are added up first
+        pieces = F.transform(F.sequence(F.lit(2), F.size(parts), F.lit(STEP)), lambda i: F.slice(parts, i, F.lit(STEP)))
+        width = lambda some: F.aggregate(some, F.lit(0), lambda n, part: n + F.length(part) - 1)
+        starts = F.aggregate(pieces, F.array(F.length(parts[0])), lambda ends, some: F.concat(ends, F.array(F.element_at(ends, -1) + width(some))))
+        return F.flatten(F.zip_with(pieces, F.slice(starts, 1, F.size(pieces)), walk))
+
+    def walked(parts: Column) -> Column:
+        few = walk(F.slice(parts, 2, F.size(parts)), F.length(parts[0]))
+        return F.when(F.size(parts) < 2, none).when(F.size(parts) <= STEP, few).otherwise(walk_long(parts))
 
-    first = F.struct(F.length(parts[0]).cast("int").alias("at"), none.alias("hits"))
-    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), first, step, lambda state: state["hits"])
-    return F.when(text.rlike(hint), walked).otherwise(none)
+    # an array of one binds the parts, so that the text is split once
+    split = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x02"), "\x01", -1)
+    return F.when(text.rlike(hint), F.get(F.transform(F.array(split), walked), 0)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -115,7 +140,8 @@ def base_spans(text: Column) -> Column:
 
 #: Features with their largest value; each is a small whole number, so their vectors are a bounded grid.
 GRID = {
-    "length": 8, "digits": 7, "letters": 4, "groups": 6, "dots": 4, "dashes": 3, "blanks": 3, "plus": 1, "sign": 2, "left": 3, "right": 3, "cue": 1,
+    "length": 8, "digits": 7, "letters": 4, "groups": 6, "dots": 4, "dashes": 3, "blanks": 3, "colons": 2, "slashes": 1, "plus": 1, "sign": 2,
+    "valid": 1, "left": 3, "right": 3, "cue": 1, "doubt": 1,
 }
 
 
@@ -123,7 +149,18 @@ def _bucket(x: Column, *bounds: int) -> Column:
     return sum(((x >= b).cast("int") for b in bounds), F.lit(0))
 
 
-def _features(text: Column, m: Column) -> dict[str, Column]:
+def plausible(kind: str, text: Column) -> Column:
+    """Whether the check of a kind holds for a span in a looser form."""
+    digits = _digits(text)
+    return {
+        "email": text.rlike("[.)\\]] ?[A-Za-z]{2,}$"),
+        "ip": text.rlike(OCTETS) | text.rlike(IPV6),
+        "card": F.length(digits).between(13, 19) & luhn(digits),
+        "phone": F.length(digits).between(9, 15) & ~text.rlike(DATE),
+    }[kind]
+
+
+def _features(text: Column, m: Column, kind: str) -> dict[str, Column]:
     t = m["t"]
     before = F.substring(text, F.greatest(F.lit(1), m["s"] - 19), F.least(m["s"], F.lit(20)))
     left = F.substring(text, m["s"], 1)  # 1-based, so this is the sign before the start
@@ -141,32 +178,110 @@ def _features(text: Column, m: Column) -> dict[str, Column]:
         "dots": F.least(count("[^.]"), F.lit(4)),
         "dashes": F.least(count("[^-]"), F.lit(3)),
         "blanks": F.least(count("[^ ]"), F.lit(3)),
+        "colons": _bucket(count("[^:]"), 1, 4),
+        "slashes": t.contains("/").cast("int"),
         "plus": t.startswith("+").cast("int"),
         "sign": F.when(t.contains("@"), 1).when(t.rlike("[(\\[]"), 2).otherwise(0),
+        "valid": plausible(kind, t).cast("int"),
         "left": sort(left, m["s"] > 0),
         "right": sort(right, F.lit(True)),
         "cue": before.rlike(CUES).cast("int"),
+        "doubt": before.rlike(DOUBTS).cast("int"),
     }
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<g, s, e, fold, genuine, features...>> of all generators."""
+def candidates(text: Column) -> Column:
+    """array<struct<g, s, e, features...>> of all generators."""
 
     def of_generator(g: int, kind: str, hint: str, pattern: str) -> Column:
-        k = KINDS.index(kind)
-
         def described(m: Column) -> Column:
-            holds = F.exists(base, lambda b: (b["k"] == k) & (b["s"] >= m["s"]) & (b["e"] <= m["e"]))
-            return F.struct(
-                F.lit(g).alias("g"), m["s"].alias("s"), m["e"].alias("e"), F.pmod(F.xxhash64(m["t"]), F.lit(2)).cast("int").alias("fold"),
-                holds.alias("genuine"), *(c.cast("int").alias(n) for n, c in _features(text, m).items()),
-            )
+            features = (c.cast("int").alias(n) for n, c in _features(text, m, kind).items())
+            return F.struct(F.lit(g).alias("g"), m["s"].alias("s"), m["e"].alias("e"), *features)
 
         return F.transform(matches(text, pattern, hint), described)
 
     return F.flatten(F.array(*(of_generator(g, *one) for g, one in enumerate(GENERATORS))))
 
 
+def rewritten(kind: str, span: Column, before: Column) -> tuple[list[tuple], list[tuple]]:
+    """(text before, span) of forms that are personal data, and of forms that only look like it.
+
+    ``span`` is a base span; ``before`` the text ahead of it.
+    """
+    digits = _digits(span)
+    lead = lambda *words: [F.lit(w) for w in words]
+    if kind == "email":
+        name, host = F.substring_index(span, "@", 1), F.substring_index(span, "@", -1)
+        spelled = [
+            F.concat(name, F.lit(" (at) "), host), F.concat(name, F.lit("[at]"), F.replace(host, F.lit("."), F.lit("[dot]"))),
+            F.concat(name, F.lit(" @ "), host), F.concat(name, F.lit(" (at) "), F.replace(host, F.lit("."), F.lit(" (dot) "))),
+        ]
+        numbers = F.concat(F.lit("1"), F.translate(F.substring(F.md5(span), 1, 2), "abcdef", "123456"))
+        return [(before, x) for x in spelled], [(w, F.concat(numbers, sign, numbers, F.lit("."), numbers)) for w in [before, *lead("costs ")] for sign in lead(" @ ", " (at) ")]
+    if kind == "ip":
+        h = [F.substring(F.md5(span), i, 4) for i in range(1, 32, 4)]
+        six = [F.concat_ws(":", *h), F.concat_ws(":", F.lit("2001"), F.lit("db8"), *h[:6]), F.concat(F.concat_ws(":", h[0], h[1]), F.lit("::"), F.concat_ws(":", h[2], h[3]))]
+        two = [F.format_string("%02d", F.conv(F.substring(F.md5(span), i, 2), 16, 10).cast("int") % 60) for i in (1, 3, 5, 7)]
+        bad = [F.concat(span, F.lit(".7")), F.concat_ws(".", F.lit("999"), F.substring_index(span, ".", 3)), F.concat_ws(":", *two), F.concat_ws(".", *(F.concat(x, F.lit("a")) for x in two))]
+        return [(w, x) for w in [before, *lead("host ", "and ")] for x in six], [(w, x) for w in [before, *lead("version ", "v", "and ")] for x in bad]
+    if kind == "card":
+        four = lambda d, sign: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", "$1" + sign)
+        wrong = F.concat(F.substring(digits, 1, F.length(digits) - 1), ((F.substring(digits, -1, 1).cast("int") + 3) % 10).cast("string"))
+        forms = [four(digits, "."), four(digits, "/")]
+        return (
+            [(w, x) for w in [before, *lead("card ", "and ")] for x in forms],
+            [(w, x) for w in [before, *lead("order ", "card ", "and ")] for x in (four(wrong, "."), four(wrong, "/"), wrong)],
+        )
+    ten = F.rpad(F.substring(digits, 2, 10), 10, "5")
+    part = lambda i, n: F.substring(ten, i, n)
+    us = [
+        F.concat(F.lit("("), part(1, 3), F.lit(") "), part(4, 3), F.lit("-"), part(7, 4)), F.concat_ws("-", part(1, 3), part(4, 3), part(7, 4)),
+        F.concat_ws(".", part(1, 3), part(4, 3), part(7, 4)),
+    ]
+    bare = F.substring(span, 2, F.length(span))
+    year, month = F.concat(F.lit("20"), part(1, 2)), F.format_string("%02d", part(3, 2).cast("int") % 12 + 1)
+    dates = [F.concat_ws(sign, year, month, F.format_string("%02d", part(5, 2).cast("int") % 28 + 1)) for sign in ("-", ".", " ")]
+    looks = [ten, F.concat_ws("-", part(1, 5), part(6, 5)), F.concat_ws(" ", part(1, 2), part(3, 2), part(5, 2), part(7, 2)), *dates]
+    pairs = F.concat_ws(" ", *(part(i, 2) for i in range(1, 10, 2)))
+    fine = [(w, x) for w in [before, *lead("phone ", "call ", "and ")] for x in us] + [(F.lit("phone "), pairs)] + [(w, bare) for w in lead("phone ", "tel: ")] + [(F.lit("call "), ten)]
+    alike = [(before, x) for x in looks] + [(w, x) for w in lead("order no. ", "invoice ", "pages ", "#") for x in (ten, *looks[1:3], *us[1:], pairs)]
+    return fine, alike
+
+
+def labelled(docs: DataFrame, *, text: str = "text", bound: int = LABELLED) -> DataFrame:
+    """(fold, genuine, g, features...) of the candidates in rewritten windows of at most ``bound`` base spans a kind.
+
+    A candidate is genuine if the window holds a span of its kind and it covers that; candidates that do not touch
+    the span tell nothing and are left out. The windows as they stand show what of another kind looks alike.
+    """
+    rows = pick(docs, text=text).select(_searchable(F.col("text")).alias("text")).where(F.col("text").rlike(ANY))
+    hit = rows.select("text", F.explode(base_spans(F.col("text"))).alias("b"))
+    window = hit.select(
+        F.col("b.k").alias("k"), F.substring(F.col("text"), F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("t"),
+        F.substring(F.col("text"), F.greatest(F.lit(1), F.col("b.s") + 1 - AROUND), F.least(F.col("b.s"), F.lit(AROUND))).alias("before"),
+        F.substring(F.col("text"), F.col("b.e") + 1, AROUND).alias("after"),
+    ).withColumn("h", F.xxhash64("before", "t", "after"))
+    order = Window.partitionBy("k").orderBy("h", "t", "before", "after")
+    taken = window.withColumn("n", F.row_number().over(order)).where(F.col("n") <= bound)
+
+    def forms(kind: str, w: Column) -> Column:
+        fine, alike = rewritten(kind, w["t"], w["before"])
+        form = lambda pair, good: F.struct(pair[0].alias("before"), pair[1].alias("t"), F.lit(good).alias("good"))
+        return F.array(form((w["before"], w["t"]), True), *(form(x, True) for x in fine), *(form(x, False) for x in alike))
+
+    of_kind = lambda w: F.coalesce(*(F.when(w["k"] == k, forms(kind, w)) for k, kind in enumerate(KINDS)))
+    # inside a lambda, since the forms are too much for one generated method
+    every = F.get(F.transform(F.array(F.struct("k", "t", "before")), of_kind), 0)
+    made = taken.select("k", "h", "after", F.explode(every).alias("f")).select(
+        "k", F.pmod("h", F.lit(2)).cast("int").alias("fold"), "f.good", F.length("f.before").alias("s"), (F.length("f.before") + F.length("f.t")).alias("e"),
+        F.concat("f.before", "f.t", "after").alias("text"),
+    ).repartition("k", "fold", "text")
+    each = made.select("k", "fold", "good", "s", "e", F.explode(candidates(F.col("text"))).alias("c")).where("c.s < e and s < c.e")
+    kinds = F.array(*(F.lit(KINDS.index(k)) for k, _, _ in GENERATORS))
+    genuine = F.col("good") & (F.get(kinds, F.col("c.g")) == F.col("k")) & (F.col("c.s") <= F.col("s") + 1) & (F.col("c.e") >= F.col("e"))
+    return each.select("fold", genuine.alias("genuine"), *(F.col(f"c.{n}").alias(n) for n in ["g", *GRID]))
+
+
 @dataclass
 class BoostedTrees:
     """Additive trees of depth two on small whole-number features, and a threshold for each generator."""
@@ -247,16 +362,10 @@ def _searchable(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, text: str = "text", precision: float = PRECISION) -> BoostedTrees:
-    """Trees and thresholds from the candidates of all documents."""
-    body = _searchable(F.col("text"))
-    rows = pick(docs, text=text).where("text is not null").select(body.alias("text"))
-    rows = rows.where(F.col("text").rlike(ANY))
-    held = rows.select("text", base_spans(F.col("text")).alias("base")).select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
+    """Trees and thresholds from rewritten base spans of the documents."""
     names = ["g", *GRID]
-    grid = held.groupBy("c.fold", *(F.col(f"c.{n}").alias(n) for n in names)).agg(
-        F.count_if("c.genuine").alias("good"), F.count_if(~F.col("c.genuine")).alias("bad")
-    )
-    counts = grid.orderBy("fold", *names).collect()  # at most 2 * 4 * the feature grid, whatever the documents
+    grid = labelled(docs, text=text).groupBy("fold", *names).agg(F.count_if("genuine").alias("good"), F.count_if(~F.col("genuine")).alias("bad"))
+    counts = grid.orderBy("fold", *names).collect()  # no more than the windows' forms have candidates
     if not counts:
         return BoostedTrees()
     x = np.array([[r[n] for n in names] for r in counts])
@@ -274,7 +383,7 @@ def spans(text: Column, base: Column, model: BoostedTrees) -> Column:
     score = lambda c: model.column(c)
     limit = lambda c: sum((F.when(c["g"] == g, F.lit(t)).otherwise(0.0) for g, t in model.thresholds.items()), F.lit(0.0))
     known = lambda c: c["g"].isin(*model.thresholds)
-    proposed = F.when(text.rlike(ANY), candidates(text, base))
+    proposed = F.when(text.rlike(ANY), candidates(text))
     chosen = F.filter(proposed, lambda c: known(c) & (score(c) >= limit(c) - 1e-9) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     kind = F.array(*(F.lit(KINDS.index(k)) for k, _, _ in GENERATORS))
     found = F.array_sort(F.transform(chosen, lambda c: F.struct((c["s"] - c["e"]).alias("n"), c["s"].alias("s"), c["e"].alias("e"), F.get(kind, c["g"]).alias("k"))))
