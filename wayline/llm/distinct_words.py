@@ -190,27 +190,32 @@ def _words(path: str, block: int, buckets: int):
 
 def _encode_bucket(path: str):
     """A bucket of the word table: each of its distinct words is encoded once, and every block gets its ids back."""
+    schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, alphabet = load(path)
+        width = id_type(path)
         known: dict[str, bytes] = {}
-        out = []
-        for packed in table.column("words"):
-            ids = []
-            for word in _loose(packed.as_py()).decode().split(SEPARATOR):
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = np.array(word_ids(word, tok, alphabet), "<u2").tobytes()
-                ids.append(found)
-            sizes = np.fromiter(map(len, ids), "<u4", len(ids))
-            out.append(_press(sizes.tobytes() + b"".join(ids)))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": [_count(x) for x in table.column("words")], "ids": pa.array(out, pa.binary())})
+        for batch in batches:
+            # a block's words one at a time: of a bucket only its distinct words stay
+            for bucket, block, packed in zip(batch.column("bucket"), batch.column("block"), batch.column("words"), strict=True):
+                ids = []
+                for word in _loose(packed.as_py()).decode().split(SEPARATOR):
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = np.array(word_ids(word, tok, alphabet), width).tobytes()
+                    ids.append(found)
+                sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+                row = {"block": [block.as_py()], "bucket": [bucket.as_py()], "n": [len(ids)], "ids": [_press(sizes.tobytes() + b"".join(ids))]}
+                yield pa.RecordBatch.from_pydict(row, schema=schema)
 
     return run
 
 
-def _count(packed: pa.Scalar) -> int:
-    return _loose(packed.as_py()).count(SEPARATOR.encode()) + 1
+@lru_cache(maxsize=2)
+def id_type(path: str) -> str:
+    """Two bytes hold the ids of a vocabulary of up to 65 536 entries, four those of a larger one."""
+    return "<u2" if load(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 def take_runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -226,11 +231,12 @@ def take_runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, order:
 def _assemble(path: str, schema: pa.Schema, wanted):
     def run(sequences: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("bucket")
+        width = np.dtype(id_type(path))
         sizes, values = [], []
         for n, packed in zip(words.column("n").to_pylist(), words.column("ids"), strict=True):
             data = _loose(packed.as_py())
-            sizes.append(np.frombuffer(data, "<u4", n) // 2)
-            values.append(np.frombuffer(data, "<u2", offset=4 * n))
+            sizes.append(np.frombuffer(data, "<u4", n) // width.itemsize)
+            values.append(np.frombuffer(data, width, offset=4 * n))
         bucket = next((b for b in sequences.column("bucket").to_pylist() if b is not None), None)
         if bucket is None:
             raise RuntimeError("a block was read in two ways")
@@ -244,7 +250,7 @@ def _assemble(path: str, schema: pa.Schema, wanted):
             length[order] = np.concatenate(sizes)
             ends = np.cumsum(length[order])
             start[order] = ends - length[order]
-        flat = np.concatenate([np.array([], "<u2"), *values]).astype("<u4")
+        flat = np.concatenate([np.array([], width), *values]).astype("<u4")
         pieces, done = PieceTable(path), []
         for batch in sequences.select(["doc_ids", "lengths", "packed"]).to_batches(max_chunksize=1):
             for row in batch.to_pylist():
