@@ -128,6 +128,10 @@ def test_chunks_reach_the_end():
         assert compression.compression_verdict(prose[:size], packer)[2:] == want
     assert compression.compression_verdict(prose[:2048] + b"again and " * 190, packer)[2:] == (2, 1)
     assert compression.compression_verdict(b"again and " * 50, packer)[::2] == (False, 1)
+    for size in (1, 20, 60, 99):  # every length has a band
+        assert compression.compression_verdict(prose[:size], packer)[::2] == (True, 1)
+    assert compression.compression_verdict(b"a " * 40, packer)[2:] == (1, 1)
+    assert compression.compression_verdict(b"", packer) == (True, None, 0, 0)
     # one chunk of prose, one and a half of noise, so most of the chunks are bad
     noise = rng.integers(0, 256, compression.CHUNK + 900, dtype=np.uint8).tobytes()
     assert compression.compression_verdict(prose[:2048] + noise, packer)[2:] == (3, 2)

@@ -5,8 +5,8 @@ repeats itself, above it it is noise. The same holds for fixed chunks of it, of
 last one ends where the text does and overlaps the one before, and a text shorter than a chunk is one in its own band.
 Base counts of words, symbols, repeated lines and repeated word windows come with it.
 
-Results for odd input: null and empty texts have no words and fail the base rule. Texts shorter than the first
-band have no compression verdict. Repeated rows each get a row, extra columns are ignored, an empty table gives
+Results for odd input: null and empty texts have no words, fail the base rule and have no ratio. Texts under 100
+bytes are judged for repetition only. Repeated rows each get a row, extra columns are ignored, an empty table gives
 no rows. Every text is read whole: one text at a time is held in memory.
 """
 
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from wayline.llm.frames import map_columns, pick
 
-#: (bytes from, least ratio, largest ratio); short texts carry more overhead, long ones repeat more words.
-BANDS = ((100, 0.40, 1.05), (500, 0.35, 0.80), (2_000, 0.30, 0.70), (10_000, 0.25, 0.65))
+#: (bytes from, least ratio, largest ratio); short texts carry more overhead, long ones repeat more words. Under 100
+#: bytes the frame around the data outweighs what compression saves, so noise and text have the same ratios there.
+BANDS = ((1, 0.40, float("inf")), (100, 0.40, 1.05), (500, 0.35, 0.80), (2_000, 0.30, 0.70), (10_000, 0.25, 0.65))
 CHUNK = 2_048
 CHUNK_BAND = (0.25, 0.80)
 BAD_CHUNKS = 0.5
