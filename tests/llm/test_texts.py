@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -172,6 +173,26 @@ def test_license_scan(spark, frame):
     assert licenses.license_spans(frame([(1, "a")]).where("false")).count() == 0
 
 
+def test_licenses_are_told_apart():
+    index = licenses.TemplateIndex.build(licenses.TEMPLATES)
+    work = "é, this work is licensed under "
+    for text, want in [
+        (work + "the GNU Lesser General Public License, version 2.1 only", ["LGPL-2.1-line"]), (work + "the GNU Affero General Public License, version 3.", ["AGPL-3.0-line"]),
+        (work + "a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0-long"]), (work + "a Creative Commons Attribution 3.0 Unported License", ["CC-BY-3.0"]),
+        ("licensed under CC BY 4.0", ["CC-BY-4.0-short"]), ("licensed under CC BY-ND 4.0", ["CC-BY-ND-4.0-short"]), ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0-line"]),
+        (work + "the GNU General Public License, version 9", []), ("licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]),
+    ]:
+        assert [x[0] for x in licenses.scan(text.encode(), index)] == want, text
+
+
+def test_license_near_hits_are_quick():
+    index = licenses.TemplateIndex.build(licenses.TEMPLATES)
+    begun = time.monotonic()
+    assert licenses.scan(b"you may obtain a copy of it now. " * 30_000 + licenses.TEMPLATES["ISC"].encode(), index)[0][0] == "ISC"
+    assert len(licenses.scan(b"licensed under CC BY 4.0. " * 5_000, index)) == 5_000
+    assert time.monotonic() - begun < 60
+
+
 def test_adjacent_licenses():
     index = licenses.TemplateIndex.build(licenses.TEMPLATES)
     for name, template in licenses.TEMPLATES.items():

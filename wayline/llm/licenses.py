@@ -3,7 +3,8 @@
 Templates are cut into runs of three words; of every four neighbouring runs the one with the least hash is a
 fingerprint, so six words in common are never missed. A text's runs are looked up in the index; hits of one template on
 nearby diagonals are a candidate region, which local alignments inside a band settle, one for each copy: matched words, the
-share of the template they cover, and where they stand in the text.
+share of the template they cover, and where they stand in the text. A window that lacks the words for the wanted share is not
+aligned. A copy counts only if it holds all names and numbers of its template and no name of another licence.
 
 The templates are fixed and small; nothing but the texts grows. Only words that occur in a template are
 told apart, so most texts end at the lookup.
@@ -16,6 +17,7 @@ scanned each; extra columns are ignored. Texts are read whole, one at a time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -74,6 +76,30 @@ TEMPLATES = {
     ),
 }
 
+#: Short lines of further licences. Fixed values.
+TEMPLATES |= {
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0",
+    "EPL-2.0-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3",
+}
+_CLAUSES = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+for _code in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
+        _long = "-".join(_CLAUSES[part] for part in _code.split("-"))
+        for _name, _text in (
+            (f"CC-{_code}-{_version}", f"This work is licensed under a Creative Commons {_long} {_version} {_port} License"),
+            (f"CC-{_code}-{_version}-short", f"Licensed under CC {_code} {_version}"),
+        ):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[_name if _name not in TEMPLATES else _name + "-long"] = _text
+#: Words that tell a licence from its neighbours, as do numbers.
+TELLING = frozenset(
+    b"affero apache attribution boost eclipse gnu lesser mozilla mpl nc nd noncommercial noderivatives noderivs sa sharealike".split()
+)
+
 #: Letters and digits stay, capitals become small, all other ASCII signs end a word.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
 _WORD = re.compile(rb"[^ ]+")
@@ -91,6 +117,7 @@ class TemplateIndex:
     words: list[list[int]] = field(default_factory=list)
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    telling: list[frozenset[bytes]] = field(default_factory=list)
 
     @classmethod
     def build(cls, templates: dict[str, str]) -> TemplateIndex:
@@ -98,12 +125,18 @@ class TemplateIndex:
         for name in sorted(templates):
             found = [w for w in words_of(templates[name].encode()) if w]
             index.names.append(name)
+            index.telling.append(frozenset(w for w in found if w in TELLING or w.isdigit()))
             index.words.append([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in found])
         for t, ids in enumerate(index.words):
             for at in index.winnowed(ids):
                 index.places.setdefault(int(index.runs(np.array(ids))[at]), []).append((t, at))
         return index
 
+    def told(self, t: int, words: list[bytes]) -> bool:
+        """Whether these words name the licence of template ``t``: all its telling words and numbers, and no other name."""
+        held = set(words)
+        return self.telling[t] <= held and TELLING & held <= self.telling[t]
+
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """One number for each run of three template words; 0 where a word is in no template."""
         if len(ids) < RUN:
@@ -144,32 +177,38 @@ def align(template: list[int], text: list[int], low: int, high: int) -> tuple[in
     return best[1], best[2], best[3]
 
 
-def copies(template: list[int], ids: np.ndarray, region: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+def copies(template: list[int], ids: np.ndarray, region: list[tuple[int, int]], coverage: float, telling: list[int]) -> list[tuple[int, int, int]]:
     """(matched words, first, end) of every copy of a template around its hits, which are (text place, template place).
 
     Each window of the hits within one template length and band of its first one is aligned; what lies left and
     right of a copy is looked at again until nothing more reaches the coverage.
     """
     size, found = len(template), []
-    open_ = [(region, 0, len(ids))]
+    wanted = np.bincount(template)
+    places = [a for a, _ in region]
+    open_ = [(0, len(region), 0, len(ids))]
     while open_:
-        hits, least, most = open_.pop()
-        if not hits:
-            continue
-        near = [x for x in hits if x[0] - hits[0][0] <= size + BAND]
-        diagonals = [a - p for a, p in near]
-        start = max(least, min(diagonals) - BAND)
-        end = min(most, max(diagonals) + size + BAND)
-        low, high = min(diagonals) - BAND - start, max(diagonals) + BAND - start
-        matched, first, last = align(template, ids[start:end].tolist(), low, high)
-        if matched < coverage * size:
+        lo, hi, least, most = open_.pop()
+        while lo < hi:
+            near = region[lo : bisect_right(places, places[lo] + size + BAND, lo, hi)]
+            diagonals = [a - p for a, p in near]
+            start = max(least, min(diagonals) - BAND)
+            end = min(most, max(diagonals) + size + BAND)
+            # a copy holds the telling words, and no alignment matches more words than the window has of the template's
+            there = np.bincount(ids[start:end], minlength=len(wanted))[: len(wanted)]
+            if there[telling].all() and np.minimum(there, wanted).sum() >= coverage * size:
+                low, high = min(diagonals) - BAND - start, max(diagonals) + BAND - start
+                matched, first, last = align(template, ids[start:end].tolist(), low, high)
+                if matched >= coverage * size:
+                    break
             # the first hit begins no copy that the others of its window would not give as well
-            open_.append((hits[1:], least, most))
+            lo += 1
+        else:
             continue
         first, last = start + first, start + last
         found.append((matched, first, last))
-        open_.append(([x for x in hits if x[0] + RUN <= first], least, first))
-        open_.append(([x for x in hits if x[0] >= last], last, most))
+        open_.append((lo, bisect_right(places, first - RUN, lo, hi), least, first))
+        open_.append((bisect_left(places, last, lo, hi), hi, last, most))
     return found
 
 
@@ -188,17 +227,22 @@ def scan(data: bytes, index: TemplateIndex, coverage: float = COVERAGE) -> list[
     found = []
     for t, pairs in hits.items():
         size, region = len(index.words[t]), []
+        telling = [index.vocabulary[w] for w in index.telling[t]]
         for at, place in [*sorted(pairs), (1 << 60, 0)]:
             if region and at - region[-1][0] > size + BAND:
-                found += [(-matched, index.names[t], first, last, matched / size) for matched, first, last in copies(index.words[t], ids, region, coverage)]
+                found += [
+                    (-matched, index.names[t], first, last, matched / size)
+                    for matched, first, last in copies(index.words[t], ids, region, coverage, telling) if index.told(t, words[first:last])
+                ]
                 region = []
             region.append((at, place))
     kept: list[tuple[int, int]] = []
     bounds = [m.span() for m in _WORD.finditer(data.translate(_FOLD))] if found else []
     out = []
     for negative, name, first, last, share in sorted(found):
-        if all(last <= a or b <= first for a, b in kept):
-            kept.append((first, last))
+        at = bisect_left(kept, (first, last))
+        if (at == 0 or kept[at - 1][1] <= first) and (at == len(kept) or last <= kept[at][0]):
+            kept.insert(at, (first, last))
             out.append((name, bounds[first][0], bounds[last - 1][1], -negative, share))
     return sorted(out, key=lambda x: x[1])
 
