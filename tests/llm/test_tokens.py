@@ -38,6 +38,17 @@ def test_ids_and_decoding(spark, frame):
     assert distinct_words.encode_decode(docs.where("false")).count() == 0
 
 
+def test_partitions_grow_with_the_texts(spark, frame):
+    docs = frame([(i, f"word{i} and others " * 40) for i in range(60)])
+    small, large = (distinct_words.encode_decode(docs, block=1_000, part=p) for p in (10**9, 2_000))
+    size = sum(len(f"word{i} and others " * 40) for i in range(60))
+    assert small.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions")) < -(-size // 2_000)
+    # both sides of the assembly keep the one dealing they are given
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"hashpartitioning(block#") == 2 and plan.count(f", {-(-size // 2_000)}), REPARTITION_BY_NUM") == 3
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
 def check_packing(rows, docs):
     tok = library("byte_bpe_50k.json")
     by_doc: dict = {}

@@ -2,9 +2,10 @@
 
 Texts are split into words exactly as the tokenizer's own splitting does. Documents are gathered in blocks; a
 block keeps its word sequence as slots of its own distinct words. The distinct words of all blocks form one
-table, dealt by a hash of the word into buckets (four to a shuffle partition). There each word is encoded once and
+table, dealt by a hash of the word into buckets (four to a partition). There each word is encoded once and
 its ids go back to every block by position (block, slot). Words and ids travel packed, one row for a block and
-bucket, which keeps the shuffles below the size of the texts. A block holds a word once, so no word is hot. A token
+bucket, which keeps the shuffles below the size of the texts. A block holds a word once, so no word is hot. Both shuffles
+have a partition for every ``PART`` bytes of text, so a task's share does not grow with the table. A token
 decodes to its piece, so a word decodes to the pieces of its ids, looked up in the id-to-piece table of the
 vocabulary, whose size is fixed.
 
@@ -34,6 +35,8 @@ from wayline.llm.frames import pick, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text in a block; longer blocks share more of their words, and take more memory.
 BLOCK = 24_000_000
+#: Bytes of text behind a partition of the shuffles.
+PART = 4 * BLOCK
 #: No word holds it: splitting drops white space.
 SEPARATOR = "\n"
 
@@ -285,7 +288,8 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokens(
-    docs: DataFrame, wanted, columns: str, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, block: int = BLOCK, buckets: int | None = None,
+    docs: DataFrame, wanted, columns: str, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, block: int = BLOCK,
+    buckets: int | None = None, part: int = PART,
 ) -> DataFrame:
     """(doc_id, what ``wanted`` makes of a document's ids and the piece table) of every row.
 
@@ -297,15 +301,18 @@ def tokens(
     path = vocabulary or tokenizer_path(VOCABULARY)
     rows = pick(docs, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark: SparkSession = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
+    buckets = buckets or 4 * parts
     sequences = rows.mapInArrow(
         _sequences(path, block, buckets), "block string, bucket binary, doc_ids array<long>, lengths array<long>, packed binary"
     )
     words = rows.mapInArrow(_words(path, block, buckets), "bucket int, block string, words binary")
-    placed = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket int, n long, ids binary")
+    placed = words.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket int, n long, ids binary")
     out = "doc_id long, " + columns
     run = _assemble(path, to_arrow_schema(StructType.fromDDL(out)), wanted)
-    return sequences.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(run, out)
+    by_block = lambda df: df.repartition(parts, "block").groupBy("block")
+    return by_block(sequences).cogroup(by_block(placed)).applyInArrow(run, out)
 
 
 def _digests(ids: np.ndarray, pieces: PieceTable) -> tuple[int, str, str]:
