@@ -97,6 +97,25 @@ def test_pairs_with_different_nearest_leaders(spark):
     assert [tuple(r) for r in setsketch._beside_leader(families, packed).collect()] == [(10, 11)]
 
 
+def test_pairs_inside_the_leader(spark, monkeypatch):
+    """The same pairs as all pairs of a family, with families cut into slices, and none of its largest component."""
+    monkeypatch.setattr(setsketch, "SLICE", 7)
+    rng = random.Random(5)
+    rows, b = [], 0
+    for a, kinds in ((1, [1]), (2, [1] * 12 + [2, 3, 4]), (3, [5, 6, 7]), (4, [8, 8, 9, 9, 9, 8])):
+        for _ in range(40):
+            n = rng.randint(40, 60)
+            rows.append((a, b, rng.choice(kinds), n, rng.randint(n * 7 // 10, n)))
+            b += 1
+    sizes = spark.createDataFrame(rows, "a long, b long, component long, n long, shared long")
+    want = {
+        (u[1], m[1]) for u in rows for m in rows
+        if u[0] == m[0] and u[1] < m[1] and u[2] != m[2] and 175 * min(u[4], m[4]) >= 75 * (u[3] + m[3])
+    }
+    got = [tuple(r) for r in setsketch._inside_leader(sizes).collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
 def test_empty_table(spark, frame):
     assert setsketch.near_duplicates(frame([(1, "a")]).where("false")).count() == 0
 

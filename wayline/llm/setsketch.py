@@ -42,6 +42,8 @@ SCALE = 20.0
 LIMIT = (1 << 16) - 2
 #: Standard errors that an estimate may lie below the threshold before a pair is left out.
 SLACK = 5.0
+#: Members of a family that stand in one task when its pairs inside the leader's set are sought.
+SLICE = 4_096
 
 _RNG = np.random.default_rng(20_240_229)
 _A = (_RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))
@@ -204,6 +206,32 @@ def _across(shingles_of: DataFrame) -> DataFrame:
     return counts.where("low <> high").select("a", "shingle", "held")
 
 
+def _inside_leader(sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one family, in different components, that can reach the threshold inside the leader's set alone.
+
+    Both then share three quarters of themselves with the leader, so all others are left out first. Most of a large
+    family is one component, whose members never meet: every pair has a side outside it. That side stands in one row for
+    every ``SLICE`` members of its family and the other one in one slice, so no task holds a family.
+    """
+    fit = settle(sizes.where(SIMILARITY[1] * F.col("shared") >= SIMILARITY[0] * F.col("n")), "inside")
+    counts = fit.groupBy("a", "component").agg(F.count("*").alias("members"))
+    counts = counts.groupBy("a").agg(
+        F.max_by("component", F.struct("members", F.col("component"))).alias("largest"), F.sum("members").alias("members"), F.count("*").alias("components"),
+    )
+    # a family of one component gives no pairs
+    counts = counts.where("components > 1").select("a", "largest", F.ceil(F.col("members") / SLICE).alias("slices"))
+    placed = fit.join(counts, "a")
+    few = placed.where(F.col("component") != F.col("largest")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    every = placed.withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")))
+    # two sides outside the largest component meet once, from the smaller component
+    once = (F.col("m.component") == F.col("m.largest")) | (F.col("u.component") < F.col("m.component"))
+    met = few.alias("u").join(
+        every.alias("m"), (F.col("u.a") == F.col("m.a")) & (F.col("u.slice") == F.col("m.slice")) & once
+        & (_common("u", "m") <= F.least("u.shared", "m.shared")),
+    )
+    return met.select(F.least("u.b", "m.b").alias("a"), F.greatest("u.b", "m.b").alias("b"))
+
+
 def _beside_leader(families: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents of one family, in different components, that may reach the threshold.
 
@@ -235,10 +263,9 @@ def _beside_leader(families: DataFrame, texts: DataFrame) -> DataFrame:
         rare.alias("m"), apart & (F.col("u.shingle") == F.col("m.shingle")) & (_common("u", "m") <= F.least("u.n", "m.n"))
         & (_common("u", "m") <= inside + 1 + F.least("u.left", "m.left")),
     )
-    sizes = parts.select("a", "b", "component", "n", "shared")
-    by_size = sizes.alias("u").join(sizes.alias("m"), apart & (_common("u", "m") <= inside))
+    by_size = _inside_leader(parts.select("a", "b", "component", "n", "shared"))
     pair = [F.least("u.b", "m.b").alias("a"), F.greatest("u.b", "m.b").alias("b")]
-    return by_shingle.select(*pair).unionByName(by_size.select(*pair)).distinct()
+    return by_shingle.select(*pair).unionByName(by_size).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
