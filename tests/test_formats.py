@@ -183,6 +183,16 @@ def test_feed_objects_over_many_chunks(spark):
     assert got == [(3, "gps", 1.5, None), (7, "3g", None, 3.0)]
 
 
+def test_feed_texts_meet_without_a_join(spark):
+    """Joined, the texts of a feed went through the driver, as the planner took them for as small as their file."""
+    rows = spark.range(8).selectExpr("id % 2 AS camera_id", "id AS seq", "repeat(cast(id AS STRING), 9) || '}' AS chunk")
+    whole = telemetry_files.stitched(rows, ["camera_id"], ["seq"], F.floor(F.col("seq") / 3))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # that of the scan
+    assert "Broadcast" not in whole._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.camera_id, r.seq): r.chunk for r in whole.collect()} == {(i % 2, i): str(i) * 9 + "}" for i in range(8)}
+
+
 def test_camera_files_source_opens_only_what_is_asked_for(spark, tmp_path):
     from wayline.sources import camera_files
 

@@ -158,7 +158,9 @@ def scan(
     carried = edges.select(*carry)
 
     # --- back onto the rows --------------------------------------------
-    out = base.join(carried, part)
+    # merged on the hash partitioning the windows need anyway: at planning either side may look as small as the
+    # files behind it, and would be broadcast with all its rows
+    out = base.join(carried.hint("merge"), part)
     if prev:
         out = out.withColumn(
             "_prev", F.coalesce(F.lag(prev_struct).over(in_chunk), F.col("_prev"))
