@@ -172,3 +172,26 @@ def test_late_frames_keep_their_types():
     held = pd.DataFrame({"reading_id": [1], "ts_us": [5], "lat": [1.0], "lon": [2.0]})
     part = view._slice(held, 10)
     assert part["seq"].tolist() == [0] and part["as_of_us"].tolist() == [5]
+
+
+def test_cameras_share_states_and_one_may_be_unknown(spark, tmp_path):
+    cameras = spark.range(5000).select(F.col("id").alias("camera_id"))
+    assert live.by_group(cameras).count().count() <= live.GROUPS
+    place = str(tmp_path / "raw")
+    rows = spark.range(60).selectExpr("IF(id % 20 = 0, NULL, id % 20) AS camera_id", "id AS reading_id", "id * 1000000 AS ts_us", "1D AS front_rear", "2D AS left_right", "3D AS upper_lower", "id * 1D AS lat", "2D AS lon")
+    rows.coalesce(1).write.parquet(place)
+    stream = spark.readStream.schema(rows.schema).parquet(place)
+    strips = run.drain(view.strips(stream, strip_s=25), "g-strip", "update").collect()
+    last = {None if c == 0 else c: [(n, c + 20 * (n + 1)) for n in range(2)] for c in range(20)}
+    assert {c: sorted((r.seq, r.reading_id) for r in strips if r.camera_id == c) for c in last} == last
+    known = run.drain(view.history_on_arrival(stream, seconds=25), "g-arrival").collect()
+    assert sorted((r.reading_id, r.readings) for r in known) == [(i, 1 if i < 20 else 2) for i in range(60)]
+
+
+def test_turns_arrive_as_so_many_files(spark, tmp_path):
+    from wayline.catalog.live import _arrive
+
+    for rows, name in ((spark.range(3), "few"), (spark.range(0), "none"), (spark.range(5000), "many")):
+        _arrive(rows, str(tmp_path / name), 5)
+        read = spark.read.schema(rows.schema).parquet(str(tmp_path / name))
+        assert len(read.inputFiles()) == 5 and read.count() == rows.count()
