@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,35 +103,58 @@ def on_pages(samples: DataFrame, page_table: DataFrame, keys: Sequence[str], win
 WINDOW_S, MAX_S, GRID_S, MIN_SCORE = 3.0, 12.0, 0.02, 0.75
 
 
-def _shapes(t, axes, starts, grid) -> np.ndarray:
-    """One row per start: all axes sampled on the grid, each scaled to unit variance."""
-    at = starts[:, None] + grid[None, :]
-    parts = []
-    for values in axes:
-        v = np.interp(at, t, values)
-        v = v - v.mean(axis=1, keepdims=True)
-        sd = v.std(axis=1, keepdims=True)
-        flat = sd < 1e-9
-        parts.append(np.where(flat, 0.0, v / np.where(flat, 1.0, sd)))
-    return np.concatenate(parts, axis=1)
-
-
 def best_overlap(before, after, before_end, after_end) -> float | None:
-    """Overlap in seconds between the tail of one track and the head of the next."""
+    """Overlap in seconds between the tail of one track and the head of the next.
+
+    Both are arrays of the columns t, x, y, z. The tails lie on one grid, step by step, so a track is sampled on it once
+    and the tails are windows over the samples; each window is scaled to unit variance per axis.
+    """
     reach = min(MAX_S, before_end)
     if len(before) < 2 or len(after) < 2 or after_end < WINDOW_S or reach <= WINDOW_S:
         return None
-    grid = np.arange(int(WINDOW_S / GRID_S) + 1) * GRID_S
-    back = WINDOW_S + np.arange(int((reach - WINDOW_S) / GRID_S) + 1) * GRID_S
-    head = _shapes(
-        after["t"].to_numpy(), [after[c].to_numpy(float) for c in "xyz"], np.zeros(1), grid
-    )[0]
-    tails = _shapes(
-        before["t"].to_numpy(), [before[c].to_numpy(float) for c in "xyz"], before_end - back, grid
-    )
-    scores = tails @ head / len(head)
+    points = int(WINDOW_S / GRID_S) + 1
+    steps = int((reach - WINDOW_S) / GRID_S) + 1
+    # time of sample i: the furthest tail starts at the first, the nearest ends at the last
+    at = before_end - WINDOW_S + np.arange(1 - steps, points) * GRID_S
+    grid = np.arange(points) * GRID_S
+    scores = np.zeros(steps)
+    for axis in (1, 2, 3):
+        h = np.interp(grid, after[:, 0], after[:, axis])
+        h = h - h.mean()
+        sd = h.std()
+        if sd < 1e-9:
+            continue
+        v = sliding_window_view(np.interp(at, before[:, 0], before[:, axis]), points)[::-1]
+        v = v - v.mean(axis=1, keepdims=True)
+        spread_ = np.sqrt(np.einsum("ij,ij->i", v, v) / points)
+        flat = spread_ < 1e-9
+        scores += np.where(flat, 0.0, v @ (h / sd) / np.where(flat, 1.0, spread_))
+    scores /= 3 * points
     best = int(scores.argmax())
-    return float(back[best]) if scores[best] > MIN_SCORE else None
+    return float(WINDOW_S + best * GRID_S) if scores[best] > MIN_SCORE else None
+
+
+def _starts(rows: pd.DataFrame, pair: Sequence[str]) -> np.ndarray:
+    """First row of each pair in rows sorted by pair; an unknown id equals another."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for name in pair:
+        ids = pd.factorize(rows[name])[0]
+        new[1:] |= ids[1:] != ids[:-1]
+    return np.flatnonzero(new)
+
+
+def _compared(rows: pd.DataFrame, cuts, pair: Sequence[str]) -> pd.DataFrame:
+    """``overlap_s`` of the pairs between the cuts."""
+    side, end = rows["side"].to_numpy(), rows["_end_ms"].to_numpy() / 1000.0
+    tracks = np.column_stack([rows["offset_ms"].to_numpy() / 1000.0, *(rows[c].to_numpy(float) for c in "xyz")])
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        m = a + int(np.searchsorted(side[a:b], 1))
+        hit = best_overlap(tracks[a:m], tracks[m:b], end[a], end[m]) if a < m < b else None
+        found.append(np.nan if hit is None else hit)
+    first = rows.iloc[list(cuts[:-1])]
+    return pd.DataFrame({**{c: first[c].to_numpy() for c in pair}, "overlap_s": np.array(found, dtype="float64")})
 
 
 def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> DataFrame:
@@ -164,22 +188,25 @@ def overlaps(pairs: DataFrame, samples: DataFrame, chunk_ms: int = 60_000) -> Da
     wanted = F.when(F.col("side") == 0, F.col("_tail")).otherwise(F.col("_head"))
     parts = known.filter("_tail OR _head").join(asked, "recording_id").filter(wanted)
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "offset_ms", "pos"])
-        rows = rows.assign(t=rows["offset_ms"] / 1000.0)
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        found = None
-        if len(a) and len(b):
-            found = best_overlap(a, b, a["_end_ms"].iloc[0] / 1000.0, b["_end_ms"].iloc[0] / 1000.0)
-        return pd.DataFrame({"before_id": [key[0]], "after_id": [key[1]], "overlap_s": [found]}).astype(
-            {"overlap_s": "float64"}
-        )
+    names = [*pair, "side", "offset_ms", "x", "y", "z", "_end_ms"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in the order of their pairs; what an Arrow batch cuts off waits for the next one."""
+        left = None
+        for batch in batches:
+            batch = pd.concat([left, batch], ignore_index=True) if left is not None else batch
+            cuts = _starts(batch, pair)
+            left = batch.iloc[cuts[-1] :] if len(cuts) else None
+            if len(cuts) > 1:
+                yield _compared(batch, cuts, pair)
+        if left is not None and len(left):
+            left = left.reset_index(drop=True)
+            yield _compared(left, [0, len(left)], pair)
 
     # little data but much arithmetic per pair: a fixed partition count is not coalesced
     tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        parts.select(*pair, "side", "offset_ms", "pos", "x", "y", "z", "_end_ms")
-        .repartition(tasks, *pair).groupBy(*pair)
-        .applyInPandas(compare, "before_id STRING, after_id STRING, overlap_s DOUBLE")
+        parts.repartition(tasks, *pair).sortWithinPartitions(*pair, "side", "offset_ms", "pos").select(*names)
+        .mapInPandas(compare, "before_id STRING, after_id STRING, overlap_s DOUBLE")
     )
     return found.withColumn("overlap_s", F.nanvl("overlap_s", F.lit(None).cast("double")))
