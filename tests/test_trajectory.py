@@ -109,3 +109,25 @@ def test_overlap_found_and_refused(spark):
     assert [got[k] for k in (("a", "c"), ("a", "flat"), ("a", "short"), ("short", "b"))] == [None] * 4
     plain = plain_overlap([(i / 10, *v) for i, v in enumerate(first)], [(i / 10, *v) for i, v in enumerate(tail)])
     assert got[("a", "b")] == pytest.approx(plain)
+
+
+def test_overlap_samples_each_track_once(monkeypatch):
+    import numpy as np
+
+    asked, interp = [], np.interp
+    monkeypatch.setattr(gsensor.np, "interp", lambda at, *rest: asked.append(np.size(at)) or interp(at, *rest))
+    t = np.arange(0, 20, 0.1)
+    track = np.column_stack([t, np.sin(t * t / 9), np.cos(t * 1.7), np.sin(t + t * t / 30)])
+    cut = track[100:] - [10.0, 0, 0, 0]
+    assert abs(gsensor.best_overlap(track, cut, t[-1], cut[-1, 0]) - (t[-1] - 10)) < 0.011
+    assert sum(asked) < 5000
+
+
+def test_brackets_are_cut_finer_than_the_session(spark):
+    from wayline.plans import asof
+
+    fixes = spark.range(50).selectExpr("id % 3 AS camera_id", "id AS pos", "id * 1000 AS at_us")
+    near = asof.bracket(fixes, fixes, ["camera_id"], "at_us", ["pos"], F.floor(F.col("_at") / 9000), tie="pos", before="a", after="b")
+    tasks = asof.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {tasks}" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.pos, r.a.pos) for r in near.collect()} == {(i, i) for i in range(50)}

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .chunked import scan
 
+#: A task merges and sorts both sides' rows, forwards and backwards: smaller tasks keep that memory low.
+FINER = 4
+
 
 def bracket(
     left: DataFrame,
@@ -48,7 +51,7 @@ def bracket(
     done = scan(
         both, keys, ["_at", "_side", "_tie"], chunk,
         fill={before: "_hit"},
-        fill_back={after: "_hit"} if after else None,
+        fill_back={after: "_hit"} if after else None, finer=FINER,
     )
     extra = [before] + ([after] if after else [])
     return done.filter("_side = 1").select("_row.*", *extra)

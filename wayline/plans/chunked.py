@@ -42,6 +42,7 @@ def scan(
     fill_back: Exprs | None = None,
     number: str | None = None,
     whole: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
+    finer: int = 1,
 ) -> DataFrame:
     """Add order-dependent columns to ``df``.
 
@@ -57,6 +58,7 @@ def scan(
     fill_back   first non-NULL value at or after the row
     number      1-based row number
     whole       whole-key aggregates: (aggregate of one chunk, function combining chunks)
+    finer       so many times the session's shuffle partitions, for wide rows that are sorted several times
 
     ``total``, ``peak`` and ``fill`` may use columns made by ``derive``.
     """
@@ -70,6 +72,9 @@ def scan(
     keys = list(keys)
     part = [*keys, CHUNK]
     base = df.withColumn(CHUNK, chunk)
+    if finer > 1:
+        tasks = finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        base = base.repartition(tasks, *part)
     in_chunk = Window.partitionBy(*part).orderBy(*order)
     so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # looking ahead runs over the reversed order: a frame open to the end costs n * n
