@@ -58,6 +58,14 @@ def test_sign_reads(spark):
     assert one(spark, "nothing here\n- [t=1s] x", texts.sign_reads) == []
 
 
+def test_sign_reads_looks_at_a_text_once(spark):
+    files = spark.createDataFrame([(1, "x")], "n long, text string").repartition(1)
+    plan = texts.sign_reads(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:#|---)") == 1  # a generator evaluates a step as often as it is named
+    odd = "- a\r\n## ZOOMED sign reads of the day\u2028- [t=2.5s]\x85 STOP \r\n  x\n## zoomed sign reads\n- [t=1.s] y\n-  \n- (NOT legible)\n - z\n --- \n- w"
+    assert [(r.pos, r.t_s, r.text) for r in one(spark, odd, texts.sign_reads)] == [(0, 2.5, "STOP x"), (1, 0.0, "[t=1.s] y -"), (2, 0.0, "z")]
+
+
 def test_lines_like_splitlines(spark):
     for text in ("a\nb\n", "a\r\n\r\nb", "", "\n", "a\x0bb c\x85", "a\r\n"):
         assert [r.line for r in one(spark, text, texts.text_lines)] == text.splitlines()

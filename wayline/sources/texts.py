@@ -12,12 +12,13 @@ from ..functions.text import squeeze, srt_seconds
 
 # Line ends, subtitle timing line, timed bullet marker, sign-read stamp.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+OTHER_LINE_END = r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 LINE_ENDS = tuple("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 TIMING = (
     r"(\d+):(\d{2}):(\d{2}),(\d{3})[^\S\r\n]*-->[^\S\r\n]*(\d+):(\d{2}):(\d{2}),(\d{3})"
 )
 BULLET = r"(?i)-\s*\[\s*t\s*=\s*([^\]]*)\]"
-SIGN_STAMP = r"^\[t=(\d+(?:\.\d+)?)s\]\s*([\s\S]*)$"
+SIGN_STAMP = r"^\[t=(\d+(?:\.\d+)?)s\]"
 SIGN_HEADING = "zoomed sign reads"
 NOT_LEGIBLE = "not legible"
 WHITESPACE = (
@@ -39,8 +40,8 @@ def lines_of(text: Column) -> Column:
 
 
 def _rest(parts: Column) -> Column:
-    """All parts but the first."""
-    return F.slice(parts, F.lit(2), F.size(parts))
+    """All parts but the first. ``parts`` stands here once, since a generator evaluates it as often as it is named."""
+    return F.slice(parts, F.lit(2), F.lit(1 << 30))
 
 
 def text_lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -103,25 +104,24 @@ def sign_reads(files: DataFrame, text: str = "text") -> DataFrame:
     next heading or ``---``. Without a stamp the time is 0.
     """
     kept = [c for c in files.columns if c != text]
-    flat = F.regexp_replace(F.col(text), LINE_END, "\n")
-    heading = rf"(?i)(?:^|\n)[^\S\n]*#[^\n]*{SIGN_HEADING}[^\n]*"
-    body = F.regexp_extract(flat, heading + r"([\s\S]*)$", 1)
+    # every step names the one before once, and every pattern starts with a plain line end
+    flat = F.when(F.col(text).rlike(OTHER_LINE_END), F.regexp_replace(F.col(text), LINE_END, "\n")).otherwise(F.col(text))
+    heading = rf"\n[^\S\n]*#[^\n]*(?i:{SIGN_HEADING})[^\n]*"
+    body = F.try_element_at(F.split(F.concat(F.lit("\n"), flat), heading, 2), F.lit(2))
     body = F.regexp_replace(body, heading, "")
     body = F.element_at(F.split(body, r"\n[^\S\n]*(?:#|---)", 2), 1)
     lines = F.filter(F.transform(F.split(body, "\n"), _trim), lambda x: x != "")
     bullets = F.split(F.concat(F.lit("\n"), F.array_join(lines, "\n")), "\n- ")
-    reads = F.transform(
-        _rest(bullets),
-        lambda b: _trim(F.regexp_replace(b, r"\s*\n", " ")),
-    )
+    # the lines are trimmed, so nothing blank stands before a line end
+    reads = F.transform(_rest(bullets), lambda b: _trim(F.replace(b, F.lit("\n"), F.lit(" "))))
     legible = F.filter(
         reads, lambda b: (b != "") & ~F.contains(F.lower(b), F.lit(NOT_LEGIBLE))
     )
     rows = files.select(*kept, F.posexplode(legible).alias("pos", "_r"))
-    stamped = F.col("_r").rlike(SIGN_STAMP)
+    rows = rows.withColumn("_t", F.when(F.startswith("_r", F.lit("[t=")), F.regexp_extract("_r", SIGN_STAMP, 1)).otherwise(""))
+    after = F.substr("_r", F.length("_t") + len("[t=s]") + 1)
     return rows.select(
         *kept, F.col("pos").cast("bigint").alias("pos"),
-        F.when(stamped, F.regexp_extract("_r", SIGN_STAMP, 1).try_cast("double"))
-        .otherwise(F.lit(0.0)).alias("t_s"),
-        F.when(stamped, _trim(F.regexp_extract("_r", SIGN_STAMP, 2))).otherwise(F.col("_r")).alias("text"),
+        F.when(F.col("_t") != "", F.col("_t").try_cast("double")).otherwise(F.lit(0.0)).alias("t_s"),
+        F.when(F.col("_t") != "", _trim(after)).otherwise(F.col("_r")).alias("text"),
     )
