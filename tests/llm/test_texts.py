@@ -257,3 +257,35 @@ def test_suffix_levels_ids_of_any_sign_and_the_text_that_is_left(spark, frame):
     rows = {r["doc_id"]: r for r in suffix_index.deduplicate(frame(docs), digest=True).collect()}
     assert rows.keys() == {-1, None, 0, -(2**62)}
     assert (rows[-1]["kept_text"], rows[None]["kept_text"], rows[0]["kept_text"], rows[-(2**62)]["kept_text"]) == ("x", "y", "left alone", "")
+
+
+def test_suffix_levels_passages_of_words_shorter_than_a_span(spark, frame):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(n))
+    passages = [prose(51), prose(64), prose(200)]
+    texts = [None, "", prose(51), passages[0], prose(300), passages[2]]
+    texts += [f"{prose(rng.randint(0, 90))} {p}{gap}{prose(rng.randint(0, 90))}" for p in passages for gap in (" ", "\n\t", "  ")]
+    own, short = prose(60), prose(31)
+    texts += [f"{own} {prose(5)} {own}", f"{short} {prose(40)}", f"{prose(40)} {short}", "x " * 90, "x " * 70 + "y", texts[4]]
+    rows = {r["doc_id"]: r for r in suffix_index.deduplicate(frame(list(enumerate(texts))), digest=True).collect()}
+    words = [(t or "").split() for t in texts]
+    runs = lambda i, n: {tuple(words[i][k : k + n]) for k in range(len(words[i]) - n + 1)}
+    for i in range(len(texts)):
+        others = set().union(*(runs(k, 32) for k in range(len(texts)) if k != i))
+        longer = set().union(*(runs(k, 51) for k in range(len(texts)) if k != i))
+        held = np.zeros(len(words[i]), bool)
+        for k in range(len(words[i]) - 31):
+            held[k : k + 32] |= tuple(words[i][k : k + 32]) in others
+        got = rows[i]["n_shared_words"]
+        assert got <= held.sum() and (got >= 32 if runs(i, 51) & longer else True), i
+    assert all(rows[i]["n_shared_words"] >= 32 and rows[i]["n_removed"] == 0 for i in (3, 6, 7, 8))
+    assert [rows[i]["n_shared_words"] for i in (0, 1, 2, 15, 16, 17)] == [0] * 6
+
+
+def test_runs_of_long_texts_do_not_depend_on_where_they_are_cut(monkeypatch):
+    rng = random.Random(2)
+    data = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(4000)).encode()
+    want = suffix_index.picked_runs(data)
+    monkeypatch.setattr(suffix_index, "_STEP", 997)
+    got = suffix_index.picked_runs(data)
+    assert sorted(zip(*map(np.ndarray.tolist, want))) == sorted(set(zip(*map(np.ndarray.tolist, got)))) and len(want[0]) > 200

@@ -12,6 +12,10 @@ notes the anchors under which entries differ; ``covered`` settles those by compa
 entries: in small groups side by side, in large ones through counts of hashed strings, so that no group is
 gathered; there the bytes before and after the anchor are matched first, which leaves few strings to count. Strings are compared by 64-bit hashes.
 
+Passages of words are looked for beside the strings, since one of 51 words may be shorter than ``SPAN`` bytes: of every ``PASSAGE``
+words the run of ``RUN`` words with the least hash is picked, and picked runs that other rows hold too are shared. Rows that share a passage of
+``PASSAGE`` words pick the same run of it, so none is missed. Shared words are counted, never removed.
+
 Results for odd input: null texts are empty; texts shorter than ``SPAN`` lose nothing; repeated rows are copies and
 lose everything from ``SPAN`` bytes on; strings that overlap themselves count; extra columns are ignored; an empty table gives
 no rows. Rows may share an id if their texts differ (of 32768 such pairs one is confused, whose texts then share their spans); the id
@@ -43,11 +47,14 @@ GROUP = 512
 #: Strings of such entries that are counted together, and the rows that hold them.
 BLOCK = 8
 BLOCKS = "block long, seed long, whole long, n long, start int, steps array<int>, strings array<long>"
+#: Words of a run, and words from which a passage that rows share is always found.
+RUN, PASSAGE = 32, 51
 _STEP = 1 << 20
 _REACH = SPAN - SEED + 1
 
 _ODD = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256).astype(np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: list[np.ndarray] = []
 
 
@@ -67,12 +74,13 @@ def _finish(h: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """Hash of any run of a piece of text in constant time."""
+    """Hash of any run of a piece of text, or of hashes of words, in constant time."""
 
     def __init__(self, data: np.ndarray):
         self.power, self.inverse = _powers()
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * self.power[: len(data)], out=self.sums[1:])
+        values = _BYTES[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * self.power[: len(data)], out=self.sums[1:])
 
     def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _finish((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -149,6 +157,64 @@ def _entry_rows(columns: list) -> Iterator[tuple[list, ...]]:
         yield tuple(map(np.concatenate, held))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hash of every word between ASCII blanks; one of over a million bytes is cut."""
+    whole = np.frombuffer(data, np.uint8)
+    out, at = [np.array([], np.uint64)], 0
+    while at < len(whole):
+        part = whole[at : at + _STEP]
+        blank = _BLANK[part]
+        if at + len(part) < len(whole) and blank.any():
+            size = int(np.flatnonzero(blank)[-1]) + 1
+            part, blank = part[:size], blank[:size]
+        edges = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
+        out.append(Hashed(part).run(np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)))
+        at += len(part)
+    return np.concatenate(out)
+
+
+def picked_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the runs of ``RUN`` words that have the least hash in some passage of ``PASSAGE`` words."""
+    words = word_hashes(data)
+    first, runs = [np.array([], np.int64)], [np.array([], np.int64)]
+    for at in range(0, len(words) - PASSAGE + 1, _STEP - PASSAGE):
+        hashes = Hashed(words[at : at + _STEP - 1]).all_runs(RUN)
+        least = _least((hashes & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(hashes), dtype=np.uint64), PASSAGE - RUN + 1)
+        picked = np.unique((least & np.uint64(0xFFFFF)).astype(np.int64))
+        first.append(picked + at)
+        runs.append(hashes[picked].view(np.int64))
+    return np.concatenate(first), np.concatenate(runs)
+
+
+def _run_rows(columns: list) -> Iterator[tuple[list, ...]]:
+    held: list[list[np.ndarray]] = [[], [], []]
+    size = 0
+    for key, text in zip(columns[0].to_pylist(), columns[1], strict=True):
+        data = text.as_py() or b""
+        first, runs = picked_runs(data)
+        if len(first):
+            fresh = np.zeros(len(runs), np.int64)  # 1 where a run comes first in its row
+            fresh[np.unique(runs, return_index=True)[1]] = 1
+            for part, value in zip(held, (runs, np.full(len(runs), NO_ID if key is None else key), (first * 2 + fresh) * 32768 + _tag(data))):
+                part.append(value)
+            size += len(runs)
+        if size > 100_000:
+            yield tuple(map(np.concatenate, held))
+            held, size = [[], [], []], 0
+    if size:
+        yield tuple(map(np.concatenate, held))
+
+
+def shared_runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, words): first words of the picked runs of every text that another row holds too."""
+    found = settle(map_columns(rows, _run_rows, "run long, doc_id long, place long"), "runs")
+    fresh = F.shiftright("place", 15) % 2
+    shared = settle(found.groupBy("run").agg(F.sum(fresh).alias("n")).where("n > 1").select("run"), "shared-runs")
+    return found.join(shared, "run").groupBy("doc_id", (F.col("place") % 32768).alias("tag")).agg(
+        F.collect_set(F.shiftright("place", 16)).alias("words")  # bounded by the text
+    )
+
+
 def suffix_array(rows: DataFrame) -> DataFrame:
     """(seed, whole, n, doc_id, place): the entries of ``rows`` (doc_id, text), equal ones counted, one place each."""
     found = map_columns(rows, _entry_rows, "seed long, whole long, doc_id long, place long")
@@ -387,10 +453,11 @@ def _remove(columns: list) -> tuple[list, ...]:
 
 def _digest(columns: list) -> tuple[list, ...]:
     ids, kept, spans = _remove(columns)
+    shared = [np.sort(np.array(x.as_py() or [], np.int64)) for x in columns[3]]
     removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
     return (
         ids, [len(k) + r for k, r in zip(kept, removed)], removed, [len(s) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept],
-        [k.decode(errors="replace") for k in kept],
+        [k.decode(errors="replace") for k in kept], [int(np.minimum(np.diff(x), RUN).sum()) + RUN if len(x) else 0 for x in shared],
     )
 
 
@@ -398,7 +465,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bat
     """(doc_id, kept, spans): the bytes that are left of every row, and the ranges that were removed.
 
     ``batches``: the documents arrive in so many parts, by a hash of their id. ``digest`` gives counts, a
-    checksum and the text of what is left; half a letter left at a cut shows as U+FFFD.
+    checksum and the text of what is left (half a letter left at a cut shows as U+FFFD), and the number of words in runs
+    that other rows hold too, removed or not.
     """
     rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     index = SuffixIndex()
@@ -406,9 +474,13 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bat
         index.add(rows.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(batches)) == part))
     index.rows = rows
     spans = settle(removed_spans(rows, index.covered()), "spans")
-    met = packed_texts(rows).join(spans, ["doc_id", "tag"], "left").select("doc_id", "packed", "spans")
     if digest:
-        return map_columns(met, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        both = spans.join(settle(shared_runs(rows), "shared"), ["doc_id", "tag"], "full")
+        met = packed_texts(rows).join(both, ["doc_id", "tag"], "left").select("doc_id", "packed", "spans", "words")
+        return map_columns(
+            met, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_shared_words long"
+        )
+    met = packed_texts(rows).join(spans, ["doc_id", "tag"], "left").select("doc_id", "packed", "spans")
     return map_columns(met, _remove, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
 
 
