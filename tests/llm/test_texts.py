@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayline.llm import licenses, line_frequency, personal_data, suffix_index
@@ -289,3 +290,53 @@ def test_runs_of_long_texts_do_not_depend_on_where_they_are_cut(monkeypatch):
     monkeypatch.setattr(suffix_index, "_STEP", 997)
     got = suffix_index.picked_runs(data)
     assert sorted(zip(*map(np.ndarray.tolist, want))) == sorted(set(zip(*map(np.ndarray.tolist, got)))) and len(want[0]) > 200
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(n))
+    texts = [prose(rng.choice((0, 3, 50, 51, 52, 130, 400))) + rng.choice(("", " ", "\n\t")) for _ in range(300)]
+    texts[7:9] = [texts[5] * 2, prose(20_000)]  # the long one stands alone
+    texts = [None, "", "y" * 399, "z" * 400, "z" * 401, " x" * 60, *texts, texts[5], " ", None]
+    keys = [None if i % 50 == 9 else i - 20 for i in range(len(texts))]
+    columns = [pa.array(keys, pa.int64()), pa.array([t and t.encode() for t in texts], pa.binary())]
+    spans, runs = [], []
+    for key, text in zip(keys, texts):
+        data, key = (text or "").encode(), suffix_index.NO_ID if key is None else key
+        first, last, left, seed, whole = (x.tolist() for x in suffix_index.entries(data))
+        spans += [(s, w, key, suffix_index._place(a, b, n, suffix_index._tag(data))) for a, b, n, s, w in zip(first, last, left, seed, whole)]
+        seen = set()
+        for at, run in zip(*(x.tolist() for x in suffix_index.picked_runs(data))):
+            runs.append((run, key, (at * 2 + (run not in seen)) * 32768 + suffix_index._tag(data)))
+            seen.add(run)
+    made, hashed = [], suffix_index.Hashed
+    monkeypatch.setattr(suffix_index, "Hashed", lambda data: made.append(len(data)) or hashed(data))
+    for rows, want in ((suffix_index._entry_rows, spans), (suffix_index._run_rows, runs)):
+        got = [row for part in rows(columns) for row in zip(*(x.tolist() for x in part))]
+        assert got == want and len(want) > 500
+    assert len(made) < 50  # one for every text and reader before
+
+
+def test_spans_read_the_entries_of_the_index(spark, frame):
+    rows = frame([(i, "ab" * 300 + str(i)) for i in range(4)]).selectExpr("doc_id", "cast(text as binary) text")
+    index = suffix_index.SuffixIndex()
+    index.add(rows.where("doc_id < 2"))
+    index.add(rows.where("doc_id >= 2"))
+    index.rows = rows
+    spans = suffix_index.removed_spans(index.places, index.covered())
+    assert "MapInArrow" not in spans._jdf.queryExecution().toString()  # texts are not hashed again
+    assert {r["doc_id"] for r in spans.collect()} == {0, 1, 2, 3}
+
+
+def test_ranges_and_words_of_a_slice_of_rows():
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())
+    texts = [b"", b"abcdefghij", b"0123456789", b"xyz", b"klm"]
+    spans = [None, [(6, 8), (1, 3), (2, 4)], [], [(0, 3)], None]
+    columns = [
+        pa.array([1, None, 3, suffix_index.NO_ID, 5], pa.int64()), pa.array(suffix_index._pack_text([pa.array([1] * 5), pa.array(texts)])[2], pa.binary()),
+        pa.array([s and [{"start": a, "end": b} for a, b in s] for s in spans], kinds[0]), pa.array([[4], [40, 0, 10], None, [], [7, 100]], kinds[1]),
+    ]
+    for start, end in ((0, 5), (1, 4), (2, 3), (0, 0)):
+        ids, n, removed, count, _, kept, shared = (list(x) for x in suffix_index._digest([c[start:end] for c in columns]))
+        assert ids == [1, None, 3, None, 5][start:end] and n == [0, 10, 10, 3, 3][start:end] and removed == [0, 5, 0, 3, 0][start:end]
+        assert count == [0, 2, 0, 1, 0][start:end] and kept == ["", "aefij", "0123456789", "", "klm"][start:end] and shared == [32, 72, 0, 0, 64][start:end]

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,8 @@ BLOCKS = "block long, seed long, whole long, n long, start int, steps array<int>
 #: Words of a run, and words from which a passage that rows share is always found.
 RUN, PASSAGE = 32, 51
 _STEP = 1 << 20
+#: Bytes of short texts that are hashed together.
+TOGETHER = 1 << 16
 _REACH = SPAN - SEED + 1
 
 _ODD = 0x9E3779B97F4A7C15
@@ -140,14 +143,53 @@ def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + rest // 512 % 512, rest % 512
 
 
+def entries_together(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Number of the text, then as ``entries``, for every text; several are less than ``TOGETHER`` bytes in all."""
+    if len(texts) == 1:
+        found = entries(texts[0])
+        return np.zeros(len(found[0]), np.int64), *found
+    sizes = np.array([len(x) for x in texts])
+    end = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    start = np.flatnonzero(np.arange(len(owner)) + SPAN <= end[owner])  # strings that stay inside their text
+    if not len(start):
+        return tuple(np.array([], np.int64) for _ in range(6))
+    hashed = Hashed(np.frombuffer(b"".join(texts), np.uint8))
+    seeds = hashed.all_runs(SEED)
+    least = _least((seeds & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(seeds), dtype=np.uint64), _REACH)
+    anchor = (least[start] & np.uint64(0xFFFFF)).astype(np.int64)
+    at = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)  # texts share no anchor
+    first, last = start[at], start[np.append(at[1:], len(anchor)) - 1]
+    left = anchor[at] - first
+    shape = (left * 1024 + last - first).astype(np.uint64) * np.uint64(_ODD)
+    text = owner[first]
+    base = (end - sizes)[text]
+    return text, first - base, last - base, left, seeds[anchor[at]].view(np.int64), _finish(hashed.run(first, last + SPAN) ^ shape).view(np.int64)
+
+
+def _batched(columns: list) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(ids, texts, tags) of rows in a row whose texts are hashed together; a long one stands alone."""
+    keys = np.array([NO_ID if k is None else k for k in columns[0].to_pylist()], np.int64)
+    texts: list[bytes] = []
+    start = size = 0
+    for i, text in enumerate(columns[1]):
+        data = text.as_py() or b""
+        if texts and size + len(data) + 1 >= TOGETHER:
+            yield keys[start:i], texts, np.array([_tag(x) for x in texts])
+            start, size, texts = i, 0, []
+        texts.append(data)
+        size += len(data) + 1
+    if texts:
+        yield keys[start:], texts, np.array([_tag(x) for x in texts])
+
+
 def _entry_rows(columns: list) -> Iterator[tuple[list, ...]]:
     held: list[list[np.ndarray]] = [[], [], [], []]
     size = 0
-    for key, text in zip(columns[0].to_pylist(), columns[1], strict=True):
-        data = text.as_py() or b""
-        first, last, left, seed, whole = entries(data)
+    for keys, texts, tags in _batched(columns):
+        owner, first, last, left, seed, whole = entries_together(texts)
         if len(first):
-            for part, value in zip(held, (seed, whole, np.full(len(first), NO_ID if key is None else key), _place(first, last, left, _tag(data)))):
+            for part, value in zip(held, (seed, whole, keys[owner], _place(first, last, left, tags[owner]))):
                 part.append(value)
             size += len(first)
         if size > 100_000:
@@ -186,16 +228,37 @@ def picked_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(first), np.concatenate(runs)
 
 
+def runs_together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, then as ``picked_runs``, for every text; several are less than ``TOGETHER`` bytes in all."""
+    if len(texts) == 1:
+        found = picked_runs(texts[0])
+        return np.zeros(len(found[0]), np.int64), *found
+    part = np.frombuffer(b"\n".join(texts), np.uint8)
+    edges = np.diff(np.concatenate(([True], _BLANK[part], [True])).view(np.int8))
+    start = np.flatnonzero(edges == -1)
+    words = Hashed(part).run(start, np.flatnonzero(edges == 1))
+    # the words of text k stand from bounds[k] to bounds[k + 1]
+    bounds = np.append(0, np.searchsorted(start, np.cumsum([len(x) + 1 for x in texts])))
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    passage = np.flatnonzero(np.arange(len(words)) + PASSAGE <= bounds[1:][owner])  # those that stay inside their text
+    if not len(passage):
+        return tuple(np.array([], np.int64) for _ in range(3))
+    hashes = Hashed(words).all_runs(RUN)
+    least = _least((hashes & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(hashes), dtype=np.uint64), PASSAGE - RUN + 1)
+    picked = np.unique((least[passage] & np.uint64(0xFFFFF)).astype(np.int64))
+    return owner[picked], picked - bounds[owner[picked]], hashes[picked].view(np.int64)
+
+
 def _run_rows(columns: list) -> Iterator[tuple[list, ...]]:
     held: list[list[np.ndarray]] = [[], [], []]
     size = 0
-    for key, text in zip(columns[0].to_pylist(), columns[1], strict=True):
-        data = text.as_py() or b""
-        first, runs = picked_runs(data)
+    for keys, texts, tags in _batched(columns):
+        owner, first, runs = runs_together(texts)
         if len(first):
-            fresh = np.zeros(len(runs), np.int64)  # 1 where a run comes first in its row
-            fresh[np.unique(runs, return_index=True)[1]] = 1
-            for part, value in zip(held, (runs, np.full(len(runs), NO_ID if key is None else key), (first * 2 + fresh) * 32768 + _tag(data))):
+            order = np.lexsort((runs, owner))
+            fresh = np.ones(len(runs), np.int64)  # 1 where a run comes first in its row
+            fresh[order[1:]] = (np.diff(runs[order]) != 0) | (np.diff(owner[order]) != 0)
+            for part, value in zip(held, (runs, keys[owner], (first * 2 + fresh) * 32768 + tags[owner])):
                 part.append(value)
             size += len(runs)
         if size > 100_000:
@@ -215,9 +278,13 @@ def shared_runs(rows: DataFrame) -> DataFrame:
     )
 
 
-def suffix_array(rows: DataFrame) -> DataFrame:
-    """(seed, whole, n, doc_id, place): the entries of ``rows`` (doc_id, text), equal ones counted, one place each."""
-    found = map_columns(rows, _entry_rows, "seed long, whole long, doc_id long, place long")
+def entry_rows(rows: DataFrame) -> DataFrame:
+    """(seed, whole, doc_id, place): every entry of ``rows`` (doc_id, text)."""
+    return map_columns(rows, _entry_rows, "seed long, whole long, doc_id long, place long")
+
+
+def suffix_array(found: DataFrame) -> DataFrame:
+    """(seed, whole, n, doc_id, place): the entries of ``entry_rows``, equal ones counted, one place each."""
     return _merged(found.withColumn("n", F.lit(1).cast("long")))
 
 
@@ -236,13 +303,16 @@ class SuffixIndex:
         self.noted: DataFrame | None = None
         self.repeated: DataFrame | None = None
         self.rows: DataFrame | None = None
+        self.places: DataFrame | None = None
 
     def add(self, batch: DataFrame) -> None:
         """Scan a batch against all levels, then keep it as the smallest level."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, small), (_, large) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, settle(_merged(large.unionByName(small)), "level")))
-        own = settle(suffix_array(batch), "level")
+        places = settle(entry_rows(batch), "places")  # read again for the spans
+        self.places = places if self.places is None else self.places.unionByName(places)
+        own = settle(suffix_array(places), "level")
         met = own.select("seed", "whole", "n", F.lit(True).alias("fresh"))
         for _, level in self.levels:
             met = met.unionByName(level.select("seed", "whole", "n", F.lit(False).alias("fresh")))
@@ -297,7 +367,7 @@ class SuffixIndex:
 
 
 def _pack_text(columns: list) -> tuple[list, ...]:
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)  # for one shuffle
     data = [x.as_py() or b"" for x in columns[1]]
     return [NO_ID if k is None else k for k in columns[0].to_pylist()], [_tag(x) for x in data], [packer.compress(x) for x in data]
 
@@ -308,9 +378,10 @@ def packed_texts(rows: DataFrame) -> DataFrame:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the strings of each wanted entry cover."""
+    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         for packed, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            data, rows = zstandard.ZstdDecompressor().decompress(packed.as_py()), wanted.as_py()
+            data, rows = unpacker.decompress(packed.as_py()), wanted.as_py()
             first, last, _ = _unplace(np.array([w["place"] for w in rows]))
             texts = [data[a : b + SPAN] for a, b in zip(first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_pydict(
@@ -421,9 +492,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _settle_group(seeds, wholes, texts)
 
 
-def removed_spans(rows: DataFrame, covered: DataFrame) -> DataFrame:
-    """(doc_id, tag, spans): the covered byte ranges of every text that has some, unmerged."""
-    places = map_columns(rows, _entry_rows, "seed long, whole long, doc_id long, place long")
+def removed_spans(places: DataFrame, covered: DataFrame) -> DataFrame:
+    """(doc_id, tag, spans): the covered byte ranges of every text that has some, unmerged; ``places`` as ``entry_rows``."""
     hit = places.join(settle(covered, "covered"), ["seed", "whole"])
     first = F.shiftright("place", 33)
     spans = F.transform("runs", lambda r: F.struct((first + r["first"]).alias("start"), (first + r["last"] + SPAN).alias("end")))
@@ -440,24 +510,51 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(columns: list) -> tuple[list, ...]:
-    kept, spans = [], []
-    for packed, found in zip(columns[1], columns[2], strict=True):
-        data = zstandard.ZstdDecompressor().decompress(packed.as_py())
-        merged = merge_spans([(s["start"], s["end"]) for s in found.as_py() or []])
-        bounds = [0, *(x for span in merged for x in span), len(data)]
-        kept.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
-        spans.append([{"start": a, "end": b} for a, b in merged])
+def _ends(column: pa.ListArray) -> np.ndarray:
+    """Where the values of each list end among those of all lists; a null one has none."""
+    return np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _cut(columns: list) -> tuple[list, list[bytes], list[list[tuple[int, int]]]]:
+    """Ids, the bytes that are left, and the ranges that are not."""
+    unpacker = zstandard.ZstdDecompressor()
+    found = list(zip(*(x.to_pylist() for x in columns[2].flatten().flatten())))
+    kept, spans, at = [], [], 0
+    for packed, end in zip(columns[1], _ends(columns[2]).tolist(), strict=True):
+        data = unpacker.decompress(packed.as_py())
+        merged = merge_spans(found[at:end])
+        at = end
+        if merged:
+            bounds = [0, *(x for span in merged for x in span), len(data)]
+            data = b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+        kept.append(data)
+        spans.append(merged)
     return [None if k == NO_ID else k for k in columns[0].to_pylist()], kept, spans
 
 
+def _remove(columns: list) -> tuple[list, ...]:
+    ids, kept, spans = _cut(columns)
+    return ids, kept, [[{"start": a, "end": b} for a, b in x] for x in spans]
+
+
+def _shared_words(column: pa.ListArray) -> np.ndarray:
+    """Words in runs that start at the listed words, for every list."""
+    ends = _ends(column)
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    first = column.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((first, owner))
+    words = np.full(len(order), RUN)
+    same = np.diff(owner) == 0
+    words[:-1][same] = np.minimum(np.diff(first[order]), RUN)[same]
+    return np.bincount(owner, weights=words, minlength=len(ends)).astype(np.int64)
+
+
 def _digest(columns: list) -> tuple[list, ...]:
-    ids, kept, spans = _remove(columns)
-    shared = [np.sort(np.array(x.as_py() or [], np.int64)) for x in columns[3]]
-    removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
+    ids, kept, spans = _cut(columns)
+    removed = [sum(b - a for a, b in x) for x in spans]
     return (
         ids, [len(k) + r for k, r in zip(kept, removed)], removed, [len(s) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept],
-        [k.decode(errors="replace") for k in kept], [int(np.minimum(np.diff(x), RUN).sum()) + RUN if len(x) else 0 for x in shared],
+        [k.decode(errors="replace") for k in kept], _shared_words(columns[3]),
     )
 
 
@@ -473,7 +570,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bat
     for part in range(batches):
         index.add(rows.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(batches)) == part))
     index.rows = rows
-    spans = settle(removed_spans(rows, index.covered()), "spans")
+    spans = settle(removed_spans(index.places, index.covered()), "spans")
     if digest:
         both = spans.join(settle(shared_runs(rows), "shared"), ["doc_id", "tag"], "full")
         met = packed_texts(rows).join(both, ["doc_id", "tag"], "left").select("doc_id", "packed", "spans", "words")
